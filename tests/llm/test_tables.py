@@ -1,0 +1,102 @@
+"""URL filter, mixing, the pipeline and the registered queries."""
+
+import datetime as dt
+import os
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from veilframe.llm import mixing, queries, url_filter
+
+
+def test_intervals_and_as_of(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    entries = [("a.example.com", "block", day(10)), ("a.example.com", "remove", day(20)), ("a.example.com", "block", day(30)), ("example.com", "allow", day(5)), ("a.example.com/x", "allow", day(12)), (None, "block", day(1)), ("b.org", "nonsense", day(1)), ("b.org", "block", day(3)), ("b.org", "allow", day(3))]
+    frame = spark.createDataFrame([(*e, 1) for e in entries], "key string, action string, at timestamp, salt int")
+    captures = [(1, "http://A.example.com/y", day(1)), (2, "http://a.example.com/y", day(10)), (3, "https://u@a.example.com:80/x/z?q", day(15)), (4, "http://a.example.com", day(20)), (5, "http://b.org/", day(3)), (6, None, day(3)), (7, "http://b.org", None), (None, "nohost", day(3)), (2, "http://a.example.com/y", day(10))]
+    pages = spark.createDataFrame([(*c, "k") for c in captures], "page_id long, url string, fetched_at timestamp, key string")
+    got = sorted((r.page_id or 0, r.verdict, r.rule) for r in url_filter.judged(pages, frame).collect())
+    assert got == [(0, "none", None), (1, "none", None), (2, "block", "a.example.com"), (2, "block", "a.example.com"), (3, "allow", "a.example.com/x"), (4, "allow", "example.com"), (5, "allow", "b.org"), (6, "none", None), (7, "none", None)]
+    assert url_filter.judged(pages, frame.where("false")).where("verdict <> 'none'").count() == 0
+    assert url_filter.judged(pages.where("false"), frame).count() == 0
+    plan = url_filter.judged(pages, frame)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_url_filter_matches_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    got = queries.op2_url_filter(spark, sf)
+    want = con.sql(f"select {', '.join(got.columns)} from ({queries.OP2_SQL})").fetchall()
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+
+
+def brute_targets(sizes, weights):
+    """Bisection on the common level instead of resharing."""
+    total, low, high = 1.5 * sum(sizes), 0.0, 1e12
+    for _ in range(300):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < total else (low, level)
+    return [min(2 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets_by_another_way():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [rng.randint(0, 1000) for _ in range(rng.randint(1, 9))]
+        weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+        assert mixing.targets(sizes, weights) == pytest.approx(brute_targets(sizes, weights), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64, 1000, 4097])
+def test_permutation(size):
+    assert sorted(mixing.permuted(np.arange(size), size, 99).tolist()) == list(range(size))
+
+
+def test_mix_keeps_targets_and_bounds(make_docs, odd_rows):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 400)), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)] + [(9000 + i, t, x, s) for i, (_, t, x, s) in enumerate(odd_rows)]
+    docs = make_docs(rows)
+    got = mixing.mix(docs, slots=1000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs, slots=1000).collect()))
+    sizes = {i: len((t or "").split()) for i, t, _, _ in rows}
+    assert {r.doc_id: r.size for r in got} == sizes and all(0 <= r.taken <= 2 * r.size for r in got)
+    source = {i: s for i, _, _, s in rows}
+    for s in {"a", "b", "c", None}:
+        mine = [r for r in got if source[r.doc_id] == s]
+        assert len({r.target for r in mine}) == 1 and mine[0].source_size == sum(r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(300, 0.03 * mine[0].target)
+    assert mixing.mix(make_docs([])).count() == 0
+    assert [(r.size, r.taken, r.target) for r in mixing.mix(make_docs([(1, None, None, None)])).collect()] == [(0, 0, 0.0)]
+
+
+def test_repeated_and_null_documents_are_each_mixed(make_docs, odd_rows):
+    got = mixing.mix(make_docs(odd_rows)).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i, *_ in odd_rows)
+
+
+def test_pipeline_stages_take_effect(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == columns, name
+        assert 0 < out.count() <= docs.count()
+        docs = out
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == ids
+    total = sum(r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * total) < 0.05 * total
+
+
+def test_registered_queries_cover_their_tables(spark, sf):
+    counts = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, query in queries.queries().items():
+        n = query(spark, sf).count()
+        assert n == (counts["pages"] if name.startswith(("op2_", "op9_")) else 10 * 5 if name.startswith("op4_") else counts["documents"]), name
+    assert os.path.exists(f"{sf}/embeddings.parquet")
