@@ -164,5 +164,6 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     pieces = pieces.withColumn("words", F.when(F.col("b") < 0, 0).otherwise(F.least((F.col("b") + 1) * block, end) - F.greatest(F.col("b") * block, F.col("at"))))
     # Documents without words have no block; keys of their own spread them over the join.
     keyed = pieces.join(bins.select("sid", "bin", "first"), ["sid", "bin"]).withColumn("block", F.when(F.col("b") < 0, -1 - F.pmod("h", F.lit(1 << 40))).otherwise(F.col("first") + F.col("b")))
-    taken = keyed.join(uses, ["sid", "block"], "left").groupBy("sid", "bin", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+    # The planner can't see how many slots a draw stands for and would broadcast them; they grow with the input.
+    taken = keyed.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "bin", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     return taken.join(sources, "sid").select("doc_id", "size", "source_size", "target", "taken")
