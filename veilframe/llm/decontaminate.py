@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import mapped, utf8
+from veilframe.llm.common import mapped, small_batches, utf8
 
 WINDOW = 10
 #: Benchmark text of one set of tables; a worker holds about 50 times this in memory.
@@ -166,5 +166,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 patterns = _patterns(block, window)
                 yield batch.filter(pa.array([not patterns.hits(words_of(t))[0] for t in utf8(batch.column("text"))], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = small_batches(docs).mapInArrow(keep, docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import held_out, mapped, utf8
+from veilframe.llm.common import held_out, mapped, small_batches, utf8
 
 HIDDEN = 8
 WINDOW = 128
@@ -298,4 +298,4 @@ def in_known_language(docs: DataFrame, model: Model | None = None, least: float
             lang, score = predict(utf8(batch.column("text")), shared.value)
             yield batch.filter(pa.array([a != UNDETERMINED and b >= least for a, b in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

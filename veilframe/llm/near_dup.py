@@ -49,7 +49,7 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.nda
     it is set in over half of the hashes.
     """
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    hashes: list[np.ndarray] = [np.empty(0, np.uint64)]
     counts: list[int] = []
     for text in texts:
         words = text.lower().split() if text else []
@@ -59,14 +59,14 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.nda
             joined = b" ".join(words)
             starts = [0, *ends[: n - 1].tolist()]
             stops = (ends[shingle - 1 :] - 1).tolist()
-            hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+            hashes.append(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
             counts.append(n)
         elif words:
-            hashes.append(digest(b" ".join(words), SEED))
+            hashes.append(np.array([digest(b" ".join(words), SEED)], np.uint64))
             counts.append(1)
         else:
             counts.append(0)
-    return _majority(np.array(hashes, np.uint64), np.array(counts, np.int64))
+    return _majority(np.concatenate(hashes), np.array(counts, np.int64))
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:

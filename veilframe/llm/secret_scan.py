@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import mapped
+from veilframe.llm.common import mapped, small_batches
 
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 0.5
@@ -157,4 +157,4 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
