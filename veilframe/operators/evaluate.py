@@ -81,7 +81,7 @@ def scored(responses: DataFrame, profile: TaskProfile, compat: bool = False) ->
 
 def evaluate(records: DataFrame, profile: TaskProfile, judge: ModelBackend, adversary: ModelBackend, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(summary, details): one judge and one adversary call per evaluable record."""
-    fit = records.where(text.is_evaluable(F.col("response"), F.col("anonymized_response")))
+    fit = records.drop("judge_response", "adversary_response").where(text.is_evaluable(F.col("response"), F.col("anonymized_response")))
     judged = answered(fit, judge, "judge", 0, 0.1, prompts.judge_prompt(F.col("response"), F.col("anonymized_response")), "judge_response")
     both = answered(judged, adversary, "attacker", 0, 0.1, prompts.attack_prompt(profile, F.col("anonymized_response")), "adversary_response")
     details = scored(both, profile, compat)

@@ -40,7 +40,7 @@ def scan_strict(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     The limit counts physical lines, in file order: one file is one partition here, as line numbers
     need it read in order. Errors surface when the result is computed.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "value"))
     chosen = lines.where(F.col("line_no") < limit) if limit else lines
     bad = F.raise_error(F.concat(F.lit("malformed line "), F.col("line_no").cast("string")))
     return chosen.select(F.coalesce(F.try_parse_json(F.nullif(strip(F.col("value")), F.lit(""))), F.parse_json(bad.cast("string"))).alias("raw"))
