@@ -119,33 +119,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _marking(docs: list[set[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Units whose presence marks toxic documents, by likelihood ratio and purity."""
+def _doc_units(text: bytes) -> set[bytes]:
+    return {u for w in set(words_of(text)) for u in units_of(w)}
+
+
+def _marking(texts: list[bytes], toxic: np.ndarray) -> set[bytes]:
+    """Units whose presence marks toxic documents, by likelihood ratio and purity.
+
+    Toxic documents are counted first, and clean ones only for units that could still pass.
+    """
     n1, n0 = Counter(), Counter()
-    for units, label in zip(docs, toxic, strict=True):
-        (n1 if label else n0).update(units)
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            n1.update(_doc_units(text))
+    n1 = {u: n for u, n in n1.items() if n >= 4}
+    for text, label in zip(texts, toxic, strict=True):
+        if not label:
+            n0.update(u for u in _doc_units(text) if u in n1)
     share = toxic.mean()
-    least = EVIDENCE + 2 * np.log(max(1, sum(n >= 4 for n in n1.values())))
+    least = EVIDENCE + 2 * np.log(max(1, len(n1)))
     out = set()
     for unit, k1 in n1.items():
         k0, k = n0[unit], n0[unit] + k1
-        if k1 >= 4 and k1 / k > 0.9:
+        if k1 / k > 0.9:
             ratio = 2 * (k1 * np.log(k1 / k / share) + (k0 * np.log(k0 / k / (1 - share)) if k0 else 0))
             if ratio >= least:
                 out.add(unit)
-    return _without_passages(sorted(out), docs, toxic)
+    return _without_passages(sorted(out), [t for t, y in zip(texts, toxic, strict=True) if y])
 
 
-def _without_passages(units: list[bytes], docs: list[set[bytes]], toxic: np.ndarray) -> set[bytes]:
+def _without_passages(units: list[bytes], texts: list[bytes]) -> set[bytes]:
     """units less those that share their documents with units of other beginnings.
 
     Words of a passage that repeats across documents look alike as evidence, but occur together;
     words that mark toxicity occur each in documents of its own.
     """
-    where = np.zeros((len(units), int(toxic.sum())), np.float32)
+    where = np.zeros((len(units), len(texts)), np.float32)
     position = {u: i for i, u in enumerate(units)}
-    for k, d in enumerate(d for d, y in zip(docs, toxic, strict=True) if y):
-        where[[position[u] for u in d if u in position], k] = 1
+    for k, text in enumerate(texts):
+        where[[position[u] for u in _doc_units(text) if u in position], k] = 1
     size = where.sum(1)
     out = set(units)
     for i in range(0, len(units), 512):
@@ -164,8 +176,9 @@ def _fit_field(sequences: list[list[bytes]], marking: set[bytes], model: Model)
     sizes = np.array([len(s) for s in sequences], np.int64)
     flat = [w for s in sequences for w in s]
     label = np.array([any(u in marking for u in units_of(w)) for w in flat], float)
-    pairs = [(i, index[u]) for i, w in enumerate(flat) for u in units_of(w) if u in index]
-    row, col = np.array(pairs).T if pairs else (np.empty(0, int), np.empty(0, int))
+    col = np.fromiter((index.get(u, -1) for w in flat for u in units_of(w)), np.int64)
+    row = np.repeat(np.arange(len(flat)), np.fromiter((len(units_of(w)) for w in flat), np.int64, len(flat)))[col >= 0]
+    col = col[col >= 0]
     inner = np.ones(len(flat), bool)
     inner[np.cumsum(sizes) - sizes] = False  # tokens with a token before them
     after = np.flatnonzero(inner)
@@ -223,11 +236,12 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 3) -> Model:
     if not len(kept) or toxic.min() == toxic.max():
         model.document = np.array([4.0 if len(kept) and toxic[0] else -4.0, 0.0, 0.0, 0.0])
         return model
-    tokens = [words_of(t) for t, _ in kept]
-    marking = _marking([{u for w in set(t) for u in units_of(w)} for t in tokens], toxic)
+    texts = [t for t, _ in kept]
+    marking = _marking(texts, toxic)
     rng = np.random.default_rng(seed)
     sequences = []
-    for words, y in zip(tokens, toxic, strict=True):
+    for text, y in zip(texts, toxic, strict=True):
+        words = words_of(text)
         if not words:
             continue
         marked = [i for i, w in enumerate(words) if any(u in marking for u in units_of(w))] if y else []
@@ -236,8 +250,9 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 3) -> Model:
             at = max(0, c - int(rng.integers(0, SPAN)))
             sequences.append(words[at : at + SPAN])
     _fit_field(sequences, marking, model)
-    p, sizes = _tokens_marginals(tokens, model)
-    x, w = _features(p, sizes), np.zeros(4)
+    parts = [_features(*_tokens_marginals([words_of(t) for t in texts[i : i + 500]], model)) for i in range(0, len(texts), 500)]
+    model.cache.clear()
+    x, w = np.concatenate(parts), np.zeros(4)
     for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
         q = _sigmoid(x @ w)
         hessian = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(4)
