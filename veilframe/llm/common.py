@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from veilframe.sources.shared import removed, shared_dir, written
 
-__all__ = ["ascii_lower", "held_out", "mapped", "removed", "shared_dir", "small_batches", "table", "utf8", "written"]
+__all__ = ["ascii_lower", "attached", "held_out", "mapped", "removed", "shared_dir", "small_batches", "table", "utf8", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,22 @@ def held_out(col: Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Parts into which the rows of one key are dealt by attached().
+SALTS = 256
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner equi-join of rows to facts, which has one row a key, where a key may hold most rows.
+
+    Rows are salted by a hash of all their columns. The distinct (key, salt) meet the facts first,
+    at most SALTS rows a key, and the rows then meet those on both, so one key's rows are dealt to
+    SALTS tasks; no key needs to be known as hot. Equal rows share a salt.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    known = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(known, [key, "_salt"]).drop("_salt")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

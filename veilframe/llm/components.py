@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is an aggregate
-(combined before the shuffle) and an equi-join against one row per node, so a node with very many
-links is a skewed join that adaptive execution splits; no neighbour list is ever gathered.
+(combined before the shuffle) and an equi-join against one row per node, dealt out by salts where a
+node may have very many links; no neighbour list is ever gathered.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import removed, written
+from veilframe.llm.common import attached, removed, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return attached(both.where("v > u"), low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import mapped, utf8, written
+from veilframe.llm.common import attached, mapped, utf8, written
 from veilframe.llm.components import component_labels
 from veilframe.llm.golay import nearby_indices
 
@@ -211,6 +211,16 @@ def fingerprint_links(fps: DataFrame, part: int = PART, sample: int = SAMPLE) ->
     return dealt.mapInArrow(_linked, "u long, v long").distinct()
 
 
+def _groups(prints: DataFrame) -> DataFrame:
+    """(doc_id, fp) to one row per distinct fingerprint: (fp, component_id)."""
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    labels, _ = written(component_labels(fingerprint_links(firsts.select("fp"))), "labels")
+    labelled = labels.join(firsts.withColumnRenamed("fp", "node"), "node")
+    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    linked = attached(labels, smallest, "label").select(F.col("node").alias("fp"), "component_id")
+    return firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs, which needs doc_id and text.
 
@@ -221,13 +231,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     prints, _ = written(fingerprint_table(docs), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels, _ = written(component_labels(fingerprint_links(firsts.select("fp"))), "labels")
-    labelled = labels.join(firsts.withColumnRenamed("fp", "node"), "node")
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
-    groups = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = attached(prints, _groups(prints), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -236,6 +241,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A doc_id on several rows keeps one of them. Rows without doc_id can't be named by a group;
     one row of each distinct text stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints, _ = written(fingerprint_table(docs), "fingerprints")
+    kept = _groups(prints).where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
