@@ -40,11 +40,12 @@ def attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
     Rows are salted by a hash of all their columns. The distinct (key, salt) meet the facts first,
     at most SALTS rows a key, and the rows then meet those on both, so one key's rows are dealt to
-    SALTS tasks; no key needs to be known as hot. Equal rows share a salt.
+    SALTS tasks; no key needs to be known as hot. Equal rows share a salt. The last join always
+    shuffles: if few rows were broadcast instead, one key's would leave from the task of its fact.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
     known = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(known, [key, "_salt"]).drop("_salt")
+    return salted.hint("merge").join(known, [key, "_salt"]).drop("_salt")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
