@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +232,18 @@ def test_minimum_cut_matches_enumeration():
 
         best = min(cost(s) for s in product((False, True), repeat=n))
         assert cost(html_text.minimum_cut(lean, edges)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("unit", ["x", "a1", "ab-", "a.", "a=", "a:", "a=b+", "token=b1b1b1b1+", 'a="', "a['b-"])
+def test_secret_lexer_takes_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        secret_scan.scan("k = 1 " + unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert seconds(80_000) < 20 * seconds(10_000) + 1
+
+
+def test_secret_after_a_long_run():
+    text = "ab-" * 5000 + " db_password = 'Zk9#qLw2!xPv'"
+    assert any(kind == "lexed" and text[a:b] == "Zk9#qLw2!xPv" for a, b, kind, *_ in secret_scan.scan(text))

@@ -32,10 +32,14 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example|placeholder|your[_-].*|x{4,}|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|none|null|true|false|undefined|test|todo)$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+#: A name starts where its run of word characters does and has at most 65 parts, so long runs and chains cost linear time.
 _HEAD = re.compile(
-    r"""(?:"(?P<dq>[\w.\- ]{1,64})"|'(?P<sq>[\w.\- ]{1,64})'|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*|\[["'][\w-]+["']\])*))[ \t]*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[ \t]*"""
+    r"""(?:"(?P<dq>[\w.\- ]{1,64})"|'(?P<sq>[\w.\- ]{1,64})'|(?<![\w$])(?:(?![A-Za-z_$])\w)*+(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+|\[["'][\w-]+["']\]){0,64}))[ \t]*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[ \t]*"""
 )
-_TERM = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<bare>[^\s"'`,;+(){}\[\]]+)""")
+_TERM = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<bare>[^\s"'`,;+(){}\[\]]{1,4097})""")
+#: Grammar of the lexer: a bare literal or propagated constant has at most so many characters, an expression so many terms.
+MOST_CHARS = 4096
+MOST_TERMS = 64
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*")
 
 
@@ -56,17 +60,25 @@ def _strength(value: str) -> float:
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach sensitive names, best score of each, by start."""
+    """(start, end, score) of literals that reach sensitive names, best score of each, by start.
+
+    MOST_CHARS and MOST_TERMS keep the time linear in the text; longer bare runs are not literals.
+    """
     known: dict[str, list[tuple[int, int, str]]] = {}
     best: dict[tuple[int, int], float] = {}
     for head in _HEAD.finditer(text):
         name = head["dq"] or head["sq"] or head["name"]
         at, parts, resolved = head.end(), [], True
-        while term := _TERM.match(text, at):
+        for _ in range(MOST_TERMS):
+            if not (term := _TERM.match(text, at)):
+                break
             if term["quoted"]:
                 if len(term["quoted"]) > 2:
                     parts.append((term.start() + 1, term.end() - 1, term["quoted"][1:-1]))
-            elif (bare := term["bare"]) in known:
+            elif len(bare := term["bare"]) > MOST_CHARS:
+                resolved = False
+                break
+            elif bare in known:
                 parts += known[bare]
             elif head["op"] != "=>" and re.search(r"\d", bare) and len(bare) >= 8:
                 parts.append((term.start(), term.end(), bare))
@@ -78,7 +90,7 @@ def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float
             at = more.end()
         if not parts:
             continue
-        if resolved and len(parts) <= 16:
+        if resolved and len(parts) <= 16 and sum(len(p[2]) for p in parts) <= MOST_CHARS:
             known[name] = parts
         weight = _sensitivity(name)
         if weight:
