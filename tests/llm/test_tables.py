@@ -79,6 +79,24 @@ def test_repeated_and_null_documents_are_each_mixed(make_docs, odd_rows):
     assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i, *_ in odd_rows)
 
 
+def test_mixture_holds_the_texts_of_its_slots(make_docs, odd_rows):
+    rng = random.Random(5)
+    rows = [(i, "\n ".join(f"é{i}_{k}" for k in range(rng.randint(0, 900))), None, rng.choice("aab")) for i in range(150)] + [(None, t, x, s) for _, t, x, s in odd_rows]
+    mixed = mixing.mixture(make_docs(rows), slots=100, bin_docs=20)
+    slots, texts = mixed.slots.collect(), {i: t for i, t, *_ in rows}
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) > 100 and sorted(r.slot for r in slots if r.shard == 0) == list(range(sum(r.shard == 0 for r in slots)))
+    words = 0
+    for r in slots:
+        assert r.n_words == len(r.text.split()) == sum(p.words for p in r.parts) <= mixing.BLOCK
+        pieces = r.text.split("\n\n")
+        assert len(pieces) == len(r.parts)
+        for part, piece in zip(r.parts, pieces, strict=True):
+            assert part.words == len(piece.split()) and (piece in texts[part.doc_id] if part.doc_id is not None else any(piece in t for _, t, *_ in odd_rows if t))
+        words += r.n_words
+    assert sum(r.taken for r in mixing.mix(make_docs(rows), slots=100, bin_docs=20).collect()) == words
+    assert mixing.mixture(make_docs([])).slots.count() == 0
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns

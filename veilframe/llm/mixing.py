@@ -5,25 +5,35 @@ fixed number of slots; how many slots of a shard each source gets is a multinomi
 targets, seeded by the shard's number, and what the draws leave open or exceed is settled in a last
 shard, so each source gets the slots of its target exactly. The k-th slot of a source, counted
 over all shards, takes the block that a pseudorandom permutation of the source's block indices
-gives for k (a new permutation for each pass over the source). Slots and blocks join by index.
-
-Scale. Packing needs running sums only within bins of about BIN documents, so a source with a third
-of all rows is as many bins as its size asks for. What is per source or per bin is aggregated
-before the driver or a window sees it; slots and blocks meet on (source, block), a unique key.
+gives for k (a new permutation for each pass over the source). Slots learn the bin of their block by
+index, then meet the bin's documents, and each slot's block is cut from the texts there: the mixture
+is a table of slots with their texts, and what it takes of each document is counted from it.
+
+Scale. Packing needs running sums only within bins of about BIN documents (fewer where they are
+long), so a source with a third of all rows is as many bins as its size asks for. What is per source
+or per bin is aggregated before the driver or a window sees it. Texts are shuffled once, by bin, as
+no block crosses a bin; a bin is in memory whole.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import SPACE_WORD, written
+from veilframe.llm.common import SPACE_WORD, utf8, written
+from veilframe.sources.shared import new_path
 
 BLOCK = 256
 BIN = 256
+#: Sources of long documents get more bins, of about so many words.
+BIN_WORDS = 1 << 20
 SLOTS = 65_536
 WEIGHTS = (3, 1, 2)  # fixed value, repeating over the sources in order
 RATIO = 1.5
@@ -72,44 +82,86 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _packed(sized: DataFrame, sources: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their bin and offset, and bins with the index of their first block."""
-    binned = sized.join(sources, sized.source.eqNullSafe(sources.src)).withColumn("bin", F.pmod("h", "n_bins"))
-    line = W.partitionBy("sid", "bin").orderBy("doc_id", "h", "size")
-    placed = binned.select(
-        "sid", "bin", "doc_id", "size", "h",
-        F.row_number().over(line).alias("nth"),
-        (F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("at"),
-    )
-    bins = binned.groupBy("sid", "bin").agg(F.ceil(F.sum("size") / block).cast("long").alias("blocks"))
-    order = W.partitionBy("sid").orderBy("bin")
-    return placed, bins.select("sid", "bin", "blocks", (F.sum("blocks").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("blocks")).alias("first"))
+class Mixture(NamedTuple):
+    """The mix, one row a slot, its path in the shared folder, and the documents it draws on.
+
+    slots: (shard, slot, source, text, n_words, parts, sid, bin, block); parts name the documents
+    of the text in order, with the words it has of each. documents: (sid, bin, nth, doc_id, size,
+    source_size, target); parts and documents meet on (sid, bin, nth).
+    """
+
+    slots: DataFrame
+    path: str
+    documents: DataFrame
+
+
+MIXED = "shard long, slot long, source string, text string, n_words long, parts array<struct<nth:int,doc_id:bigint,words:bigint>>, sid long, bin long, block long"
+PARTS = pa.list_(pa.struct([("nth", pa.int32()), ("doc_id", pa.int64()), ("words", pa.int64())]))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Between the pieces of different documents in a slot's text.
+SEPARATOR = b"\n\n"
+
+
+def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of non-space bytes."""
+    edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(text, np.uint8)].astype(np.int8), prepend=1, append=1))
+    return edges[::2], edges[1::2]
+
+
+def _cut(docs: pa.Table, slots: pa.Table, block: int) -> pa.Table:
+    """The slots of one bin, with the text of their blocks cut from the bin's documents."""
+    order = pc.sort_indices(docs, [("doc_id", "ascending"), ("h", "ascending"), ("size", "ascending")], null_placement="at_start") if slots.num_rows else []
+    ids, texts = docs["doc_id"].to_pylist(), utf8(docs["text"])
+    pieces: dict[int, list] = {b: [] for b in slots["b"].to_pylist()}
+    at = 0
+    for nth, row in enumerate(order.to_pylist() if slots.num_rows else [], 1):
+        starts, ends = _bounds(texts[row] or b"")
+        for b in range(at // block, -(-(at + len(starts)) // block)):
+            low, high = max(b * block - at, 0), min((b + 1) * block - at, len(starts))
+            if b in pieces and high > low:
+                pieces[b].append(({"nth": nth, "doc_id": ids[row], "words": high - low}, texts[row][starts[low] : ends[high - 1]]))
+        at += len(starts)
+    mine = [pieces[b] for b in slots["b"].to_pylist()]
+    parts = [[part for part, _ in x] for x in mine]
+    columns = {
+        "shard": slots["shard"], "slot": slots["slot"],
+        "source": pa.array([docs["source"][0].as_py()] * len(mine) if mine else [], pa.string()),
+        "text": pa.array([SEPARATOR.join(t for _, t in x) for x in mine], pa.binary()).view(pa.string()),
+        "n_words": pa.array([sum(p["words"] for p in x) for x in parts], pa.int64()),
+        "parts": pa.array(parts, PARTS),
+        "sid": slots["sid"], "bin": slots["bin"], "block": slots["block"],
+    }
+    return pa.table(columns)
 
 
 def _slots(draws: DataFrame, n_blocks: dict[int, int], seed: int) -> DataFrame:
-    """(shard, sid, k0, take) to one row a slot: (shard, sid, block)."""
+    """(shard, sid, k0, take) to one row a slot: (shard, slot, sid, block); a shard's sources are shuffled."""
+    shard = W.partitionBy("shard")
+    before = F.sum("take").over(shard.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)) - F.col("take")
+    draws = draws.select("*", before.alias("before"), F.sum("take").over(shard).alias("whole"))
 
     def run(batches):
         for batch in batches:
-            for shard, sid, first, take in zip(batch["shard"], batch["sid"], batch["k0"], batch["take"], strict=True):
+            for shard, sid, first, take, before, whole in zip(*(batch[c] for c in ("shard", "sid", "k0", "take", "before", "whole")), strict=True):
                 k = np.arange(first, first + take)
                 size = n_blocks[sid]
                 out = np.empty(len(k), np.int64)
                 for turn in range(int(first // size), int((first + take - 1) // size) + 1):
                     mine = k // size == turn
                     out[mine] = permuted(k[mine] % size, size, seed * 1_000_003 + sid * 1009 + turn)
-                yield pd.DataFrame({"shard": shard, "sid": sid, "block": out})
+                slot = permuted(np.arange(before, before + take), int(whole), (seed + 1) * 1_000_003 + int(shard))
+                yield pd.DataFrame({"shard": shard, "slot": slot, "sid": sid, "block": out})
 
-    return draws.repartition("shard", "sid").mapInPandas(run, "shard long, sid long, block long")
+    return draws.repartition("shard", "sid").mapInPandas(run, "shard long, slot long, sid long, block long")
 
 
 def mixed_slots(plan: list[dict], spark, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """The mix itself: (shard, sid, block), one row a slot, from per-source rows of n_blocks and n_slots."""
+    """The draws of the mix: (shard, slot, sid, block), one row a slot, from per-source rows of n_blocks and n_slots."""
     wanted = {p["sid"]: p["n_slots"] for p in plan if p["n_slots"]}
     n_blocks = {p["sid"]: p["n_blocks"] for p in plan}
     total = sum(wanted.values())
     if not total:
-        return spark.createDataFrame([], "shard long, sid long, block long")
+        return spark.createDataFrame([], "shard long, slot long, sid long, block long")
     ids, share = list(wanted), np.array(list(wanted.values())) / total
     n_shards = -(-total // slots)
 
@@ -130,40 +182,56 @@ def mixed_slots(plan: list[dict], spark, slots: int = SLOTS, seed: int = SEED) -
     return _slots(kept.unionByName(open_).where("take > 0"), n_blocks, seed)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, bin_docs: int = BIN) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source).
+def mixture(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, bin_docs: int = BIN) -> Mixture:
+    """The mix of docs (doc_id, text, source), written to the shared folder with its texts.
 
     Sizes are runs of non-space characters (null text: 0). Sources weigh 3, 1, 2, repeating, by
     code point with null last, and share 1.5 times all sizes; a target stops at twice its source's
     size and the excess is reshared. Reruns agree, as every draw is seeded. A block is taken at
-    most twice, so no document exceeds twice its size. Null ids and repeated rows are documents
-    like others; empty sources and tables give zeros or no rows.
+    most twice. White space within a document's piece is kept.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("h")
-    )
-    sized, _ = written(sized, "sizes")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"), F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("h"))
+    sized, _ = written(docs.drop("text"), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     goals = targets([r.size for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))])
-    rows = [(sid, r.source, r.size, goal, -(-r.n // bin_docs)) for sid, (r, goal) in enumerate(zip(totals, goals, strict=True))]
+    rows = [(sid, r.source, r.size, goal, max(-(-r.n // bin_docs), -(-r.size // BIN_WORDS))) for sid, (r, goal) in enumerate(zip(totals, goals, strict=True))]
     sources = spark.createDataFrame(rows, "sid long, src string, source_size long, target double, n_bins long")
 
-    placed, bins = _packed(sized, sources.select("sid", "src", "n_bins"), block)
-    bins, _ = written(bins, "bins")
+    def binned(frame: DataFrame) -> DataFrame:
+        return frame.join(F.broadcast(sources), frame.source.eqNullSafe(sources.src)).withColumn("bin", F.pmod("h", "n_bins"))
+
+    bins = binned(sized).groupBy("sid", "bin").agg(F.ceil(F.sum("size") / block).cast("long").alias("blocks"))
+    order = W.partitionBy("sid").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    bins, _ = written(bins.select("sid", "bin", "blocks", (F.sum("blocks").over(order) - F.col("blocks")).alias("first")), "bins")
     blocks = {r.sid: r.n for r in bins.groupBy("sid").agg(F.sum("blocks").alias("n")).collect()}
     plan = [{"sid": sid, "n_blocks": blocks[sid], "n_slots": min(2 * blocks[sid], round(goal * blocks[sid] / size)) if size else 0} for sid, _, size, goal, _ in rows]
-    uses = mixed_slots(plan, spark, slots, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
 
-    end = F.col("at") + F.col("size")
-    pieces = placed.withColumn("b", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))))
-    pieces = pieces.withColumn("words", F.when(F.col("b") < 0, 0).otherwise(F.least((F.col("b") + 1) * block, end) - F.greatest(F.col("b") * block, F.col("at"))))
-    # Documents without words have no block; keys of their own spread them over the join.
-    keyed = pieces.join(bins.select("sid", "bin", "first"), ["sid", "bin"]).withColumn("block", F.when(F.col("b") < 0, -1 - F.pmod("h", F.lit(1 << 40))).otherwise(F.col("first") + F.col("b")))
+    placed = bins.where("blocks > 0").select("sid", "bin", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")).withColumn("block", F.col("first") + F.col("b"))
     # The planner can't see how many slots a draw stands for and would broadcast them; they grow with the input.
-    taken = keyed.join(uses.hint("merge"), ["sid", "block"], "left").groupBy("sid", "bin", "nth", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
-    return taken.join(sources, "sid").select("doc_id", "size", "source_size", "target", "taken")
+    drawn = mixed_slots(plan, spark, slots, seed).hint("merge").join(placed.drop("first"), ["sid", "block"])
+    texts = binned(docs).select("sid", "bin", "source", "doc_id", "h", "size", "text")
+    mixed = texts.groupBy("sid", "bin").cogroup(drawn.groupBy("sid", "bin")).applyInArrow(lambda d, s: _cut(d, s, block), MIXED)
+    path = new_path(spark, "mixture")
+    mixed.write.option("compression", "zstd").parquet(path)
+
+    nth = F.row_number().over(W.partitionBy("sid", "bin").orderBy("doc_id", "h", "size")).alias("nth")
+    documents = binned(sized).select("sid", "bin", nth, "doc_id", "size", "source_size", "target")
+    return Mixture(spark.read.schema(mixed.schema).parquet(path), path, documents)
+
+
+def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, bin_docs: int = BIN) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of docs, counted from its mixture().
+
+    A block is taken at most twice, so no document exceeds twice its size. Null ids and repeated
+    rows are documents like others; empty sources and tables give zeros or no rows. The mixture
+    itself stays in the shared folder, as mixture-*.
+    """
+    mixed = mixture(docs, block, slots, seed, bin_docs)
+    parts = mixed.slots.select("sid", "bin", F.explode("parts").alias("part"))
+    taken = parts.groupBy("sid", "bin", F.col("part.nth").alias("nth")).agg(F.sum("part.words").alias("taken"))
+    return mixed.documents.join(taken.hint("merge"), ["sid", "bin", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
