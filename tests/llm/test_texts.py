@@ -247,3 +247,25 @@ def test_secret_lexer_takes_linear_time(unit):
 def test_secret_after_a_long_run():
     text = "ab-" * 5000 + " db_password = 'Zk9#qLw2!xPv'"
     assert any(kind == "lexed" and text[a:b] == "Zk9#qLw2!xPv" for a, b, kind, *_ in secret_scan.scan(text))
+
+
+def test_secrets_of_any_length_and_number_of_terms():
+    long = "aB3_xY9-" * 700
+    for text in ("PRIVATE_KEY=" + long, f'blob = "{long}"\npwd = blob', f'"{"a quoted name " * 6}password": "{long}"', "a" + ".b" * 90 + ".pwd = " + long, "secret" + ".b1x" * 90 + " = " + long):
+        assert [text[s:e] for s, e, _ in secret_scan.lexed(text)] == [long], text[:40]
+    pieces = [f"Zk{i}qLw2xP" for i in range(100)]
+    for text in ("pwd=" + "+".join(pieces), "pwd = " + " + ".join(f'"{p}"' for p in pieces), "blob = " + " + ".join(f'"{p}"' for p in pieces) + "\npwd = blob"):
+        assert [text[s:e] for s, e, _ in secret_scan.lexed(text)] == pieces
+    assert not any(p in secret_scan.masked_text("pwd=" + "+".join(pieces)) for p in pieces)
+    inner = "url=https://x?pwd=Abcd1234"
+    assert [inner[s:e] for s, e, _ in secret_scan.lexed(inner)] == ["Abcd1234"]
+
+
+@pytest.mark.parametrize("unit", ["key=", "pwd=a1b2c3d4=", "pwd=k+", "key=>b1b1", "pwd = k\n"])
+def test_sensitive_names_and_constants_take_linear_time(unit):
+    def seconds(n):
+        began = time.process_time()
+        secret_scan.scan("k = '" + "aB3xY9kk" * (n // 40) + "'\nz = 1 " + unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert seconds(80_000) < 20 * seconds(10_000) + 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 
 import pyarrow as pa
@@ -32,14 +33,11 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example|placeholder|your[_-].*|x{4,}|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|none|null|true|false|undefined|test|todo)$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-#: A name starts where its run of word characters does and has at most 65 parts, so long runs and chains cost linear time.
+#: A run of names is consumed once, whether or not an operator follows, so long runs and chains cost linear time.
 _HEAD = re.compile(
-    r"""(?:"(?P<dq>[\w.\- ]{1,64})"|'(?P<sq>[\w.\- ]{1,64})'|(?<![\w$])(?:(?![A-Za-z_$])\w)*+(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+|\[["'][\w-]+["']\]){0,64}))[ \t]*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[ \t]*"""
+    r"""(?:(?:"(?P<dq>[\w.\- ]++)"|'(?P<sq>[\w.\- ]++)')[ \t]*+(?P<qop>:=|=>|=(?![=>])|:(?![:/]))|(?<![\w$])(?:(?![A-Za-z_$])\w)*+(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+|\[["'][\w-]++["']\])*+)(?:[ \t]*+(?P<op>:=|=>|=(?![=>])|:(?![:/])))?)[ \t]*+"""
 )
-_TERM = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<bare>[^\s"'`,;+(){}\[\]]{1,4097})""")
-#: Grammar of the lexer: a bare literal or propagated constant has at most so many characters, an expression so many terms.
-MOST_CHARS = 4096
-MOST_TERMS = 64
+_TERM = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)|(?P<bare>[^\s"'`,;+(){}\[\]]++)""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*")
 
 
@@ -49,54 +47,211 @@ def _sensitivity(name: str) -> float:
     return max((NAME_WEIGHTS.get(w, 0.0) for w in words + pairs), default=0.0)
 
 
-def _strength(value: str) -> float:
-    """0 to 1: long, mixed and uneven literals look like credentials; words and placeholders don't."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.5) * (0.5 + 0.25 * min(classes - 1, 2))
+_ENDS = 16
+
+
+class _Literal:
+    """What strength needs of a concatenation that is built from its end: counts, length, and both ends."""
+
+    def __init__(self, counts: dict | None = None, size: int = 0, first: str = "", last: str = ""):
+        self.counts, self.size, self.first, self.last = Counter(counts or {}), size, first, last
+
+    def put_before(self, counts: dict, size: int, first: str, last: str) -> None:
+        self.counts.update(counts)
+        # Ends of a shorter text than _ENDS are the whole of it.
+        self.last = (last + self.last)[-_ENDS:] if self.size < _ENDS else self.last
+        self.first = (first + self.first)[:_ENDS] if size < _ENDS else first
+        self.size += size
+
+    def put_text(self, text: str) -> None:
+        if text:
+            self.put_before(Counter(text), len(text), text[:_ENDS], text[-_ENDS:])
+
+    def copy(self) -> _Literal:
+        return _Literal(self.counts, self.size, self.first, self.last)
+
+    def _placeholder(self) -> bool:
+        ends = self.first + (self.last[-min(self.size - _ENDS, _ENDS) :] if self.size > _ENDS else "")
+        same = set(ends) <= {"x", "X"} or set(ends) == {"*"}
+        return bool(PLACEHOLDER.match(ends)) and (not same or set(self.counts) <= {"x", "X"} or set(self.counts) == {"*"})
+
+    def strength(self) -> float:
+        """0 to 1: long, mixed and uneven literals look like credentials; words and placeholders don't."""
+        if self.size < 6 or self._placeholder() or any(c.isspace() for c in self.counts):
+            return 0.0
+        entropy = -sum(c / self.size * math.log2(c / self.size) for c in self.counts.values())
+        distinct = "".join(self.counts)
+        classes = sum(bool(re.search(p, distinct)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, entropy / 3.5) * (0.5 + 0.25 * min(classes - 1, 2))
+
+
+class _Value:
+    """The value of one head: a chain's terms from a term, or from within a bare one, to its end."""
+
+    def __init__(self, at: int, start: int, weight: float, arrow: bool):
+        self.at, self.start, self.weight, self.arrow = at, start, weight, arrow
+        self.own: object = None
+        self.used = False
+        self.score = 0.0
+        self.literal: _Literal | None = None
+
+
+class _Chain:
+    """Joined terms (start, end, kind, constant), parsed once; heads within its bare terms share its rest."""
+
+    def __init__(self):
+        self.terms: list[tuple[int, int, str, _Value | None]] = []
+        self.facts: list[tuple[int, int]] = []
+        self.values: list[_Value] = []
+        self.before: dict[str, _Value | None] = {}
+        self.rest: list[tuple[tuple[bool, bool], tuple[bool, bool]]] = []
+
+    def close(self) -> None:
+        """For each term, of the terms after it and by plain and => heads: all resolved, any part."""
+        state = ((True, True), (False, False))
+        for start, end, kind, _ in reversed(self.terms):
+            self.rest.append(state)
+            (plain, arrow), (some, other) = state
+            part = kind == "ref" or kind == "quoted" and end > start
+            state = ((plain and kind != "none", arrow and kind not in ("none", "bare")), (some or part or kind == "bare", other or part))
+        self.rest.reverse()
+
+    def evaluate(self, text: str) -> None:
+        """Scores of the values that count, in one pass from the end."""
+        for arrow in (False, True):
+            asked = sorted((v for v in self.values if v.arrow == arrow and (v.weight or v.used)), key=lambda v: v.start)
+            if not asked:
+                continue
+            run = _Literal()
+            for i in range(len(self.terms) - 1, asked[0].at - 1, -1):
+                start, end, kind, constant = self.terms[i]
+                at, rest = end, None
+                while asked and asked[-1].at == i:
+                    v = asked.pop()
+                    if isinstance(v.own, _Value) or v.own == "none" or kind != "bare" and v.own == "bare":
+                        mine = (rest or run).copy() if at == end else rest.copy()
+                        if isinstance(v.own, _Value):
+                            c = v.own.literal
+                            mine.put_before(c.counts, c.size, c.first, c.last)
+                        elif v.own == "bare":
+                            mine.put_text(text[v.start : end])
+                    else:
+                        if v.own == "bare":
+                            if rest is None:
+                                rest = run.copy()
+                            run.put_text(text[v.start : at])
+                            at = v.start
+                        else:
+                            run.put_text(text[v.start : end])
+                            at = start
+                        mine = run
+                    if v.weight:
+                        v.score = v.weight * mine.strength()
+                    if v.used:
+                        v.literal = mine.copy()
+                if not asked:
+                    break
+                if kind == "ref":
+                    run = rest or run
+                    run.put_before(constant.literal.counts, constant.literal.size, constant.literal.first, constant.literal.last)
+                elif kind == "quoted" or kind == "bare" and not arrow:
+                    run.put_text(text[start:at])
+                elif rest is not None:
+                    run = rest
+
+    def spread(self, best: dict[tuple[int, int], float]) -> None:
+        """Give each part the best score of the values that hold it."""
+        for arrow in (False, True):
+            values = sorted((v for v in self.values if v.arrow == arrow), key=lambda v: v.start)
+            top, turn = 0.0, 0
+            for i in range(values[0].at if values else len(self.terms), len(self.terms)):
+                start, end, kind, constant = self.terms[i]
+                if top:
+                    if kind == "ref":
+                        constant.score = max(constant.score, top)
+                    elif kind == "quoted" and end > start or kind == "bare" and not arrow:
+                        best[start, end] = max(best.get((start, end), 0.0), top)
+                while turn < len(values) and values[turn].at == i:
+                    v = values[turn]
+                    turn += 1
+                    if isinstance(v.own, _Value):
+                        v.own.score = max(v.own.score, v.score)
+                    elif v.own in ("quoted", "bare") and end > v.start and v.score:
+                        best[v.start, end] = max(best.get((v.start, end), 0.0), v.score)
+                    top = max(top, v.score)
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach sensitive names, best score of each, by start.
 
-    MOST_CHARS and MOST_TERMS keep the time linear in the text; longer bare runs are not literals.
+    Time is linear in the text for a bounded alphabet: a term is read once, heads within a bare term
+    are values of the chain that holds it, and constants are references. Names in an expression mean
+    what they did where it starts.
     """
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    known: dict[str, _Value] = {}
+    chains: list[_Chain] = []
+    bare: list[tuple[int, int]] = []  # by start: bare terms read so far, and in held their chains
+    held: dict[int, tuple[_Chain, int]] = {}
+
+    def kind_of(start: int, end: int, last_mark: int, last_digit: int, chain: _Chain) -> tuple[str, _Value | None]:
+        if start > last_mark and (name := text[start:end]) is not None:
+            constant = chain.before[name] if name in chain.before else known.get(name)
+            if constant is not None:
+                constant.used = True
+                return "ref", constant
+        return ("bare" if last_digit >= start and end - start >= 8 else "none"), None
+
     for head in _HEAD.finditer(text):
-        name = head["dq"] or head["sq"] or head["name"]
-        at, parts, resolved = head.end(), [], True
-        for _ in range(MOST_TERMS):
-            if not (term := _TERM.match(text, at)):
-                break
-            if term["quoted"]:
-                if len(term["quoted"]) > 2:
-                    parts.append((term.start() + 1, term.end() - 1, term["quoted"][1:-1]))
-            elif len(bare := term["bare"]) > MOST_CHARS:
-                resolved = False
-                break
-            elif bare in known:
-                parts += known[bare]
-            elif head["op"] != "=>" and re.search(r"\d", bare) and len(bare) >= 8:
-                parts.append((term.start(), term.end(), bare))
-            else:
-                resolved = False
-            at = term.end()
-            if not (more := _JOIN.match(text, at)):
-                break
-            at = more.end()
-        if not parts:
+        op = head["op"] or head["qop"]
+        if not op:
             continue
-        if resolved and len(parts) <= 16 and sum(len(p[2]) for p in parts) <= MOST_CHARS:
-            known[name] = parts
-        weight = _sensitivity(name)
-        if weight:
-            score = weight * _strength("".join(p[2] for p in parts))
-            for start, end, _ in parts:
-                best[start, end] = max(best.get((start, end), 0.0), score)
+        name, at, arrow = head["dq"] or head["sq"] or head["name"], head.end(), op == "=>"
+        place = bisect_right(bare, (at, len(text) + 1)) - 1
+        if place >= 0 and at < bare[place][1]:
+            chain, index = held[bare[place][0]]
+        else:
+            chain, index, here = _Chain(), 0, at
+            while term := _TERM.match(text, here):
+                start, end = term.span()
+                if term["quoted"]:
+                    chain.terms.append((start + 1, end - 1, "quoted", None))
+                    chain.facts.append((-1, -1))
+                else:
+                    run = term["bare"]
+                    mark = max(run.rfind("="), run.rfind(":"))
+                    digit = next((k for k in range(len(run) - 1, -1, -1) if run[k].isdecimal()), -1)
+                    chain.facts.append((start + mark if mark >= 0 else -1, start + digit if digit >= 0 else -1))
+                    insort(bare, (start, end))
+                    held[start] = (chain, len(chain.terms))
+                    chain.terms.append((start, end, *kind_of(start, end, *chain.facts[-1], chain)))
+                if not (more := _JOIN.match(text, end)):
+                    break
+                here = more.end()
+            if not chain.terms:
+                continue
+            chain.close()
+            chains.append(chain)
+        start, end, kind, constant = chain.terms[index]
+        if kind == "quoted":
+            own = "quoted"
+        else:
+            start = at
+            kind, constant = kind_of(start, end, *chain.facts[index], chain)
+            own = constant or ("none" if arrow else kind)
+        value = _Value(index, start, _sensitivity(name), arrow)
+        value.own = own
+        resolved, some = (x[arrow] for x in chain.rest[index])
+        if not (some or isinstance(own, _Value) or own == "bare" or own == "quoted" and end > start):
+            continue
+        chain.values.append(value)
+        if resolved and own != "none":
+            chain.before.setdefault(name, known.get(name))
+            known[name] = value
+    best: dict[tuple[int, int], float] = {}
+    for chain in chains:
+        chain.evaluate(text)
+    for chain in reversed(chains):
+        chain.spread(best)
     return sorted((s, e, x) for (s, e), x in best.items() if x >= threshold)
 
 
