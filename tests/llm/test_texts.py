@@ -126,6 +126,23 @@ def test_licenses_match_brute_force(make_docs, odd_rows):
     assert licenses.license_scan(make_docs([])).count() == 0
 
 
+def test_wrapped_notices_match(make_docs):
+    rows, want = [], {}
+    for tid, (label, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for width in (2, 4, 7, 11):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            for prefix in ("", " * ", "# ", "dnl "):
+                rows.append((len(rows), "int x = 1;\n\n" + "\n".join(prefix + x for x in lines) + "\n\nother text", None, None))
+                want[len(rows) - 1] = label
+    apart = licenses.TEMPLATES[7][1].split()
+    rows.append((9000, " ".join(apart[:10]) + "\n\n" + " ".join(apart[10:]), None, None))
+    rows.append((9001, " ".join(apart[10:]) + "\n" + " ".join(apart[:10]), None, None))
+    got = {r.doc_id: r for r in licenses.license_scan(make_docs(rows)).collect()}
+    assert [(i, label) for i, label in want.items() if label not in got[i].labels.split(",") or got[i].score < 1] == []
+    assert got[9000].labels == got[9001].labels == ""
+
+
 def test_license_plan_is_native(make_docs, odd_rows):
     plan = licenses.license_scan(make_docs(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -1,14 +1,18 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text. A block matches a template when it holds at least CONTAINMENT of the
+A block is a line of a text, or successive lines over which a template's words run on: the
+last word before a line break and the first after it (the second, where both lines start with the same
+word, as comments may) are neighbours in the template. Lines without words end a paragraph and are not
+crossed. A block matches a template when it holds at least CONTAINMENT of the
 template's distinct words. The join is exact: template words are ordered by their frequency in the
 whole corpus, rarest first, and a block that misses all of a template's first
 |T| - need + 1 words can't hold `need` of them (prefix filter); a block with fewer than `need`
 words can't either (length filter); and once the first word found is at place i, at most |T| - i can
-match (positional filter). What passes is verified by intersection.
+match (positional filter). The filters are put to paragraphs, which hold their blocks; what passes is
+verified by intersection, block by block in one fold over the paragraph's lines.
 
 All steps are DataFrame expressions. Templates are a fixed list, so their index is a bounded
-broadcast; blocks are exploded only where a rarest-word pattern finds something, and each block and
+broadcast; paragraphs are exploded only where a rarest-word pattern finds something, and each paragraph and
 template meet at most once (at the first prefix word present), so nothing needs deduplication.
 """
 
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import ascii_lower
 
 CONTAINMENT = 0.8
+#: A line break, and any lines without a word after it.
+PARAGRAPH = r"\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+\n)++"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z is lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,34 +64,56 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_index(frequencies: dict[str, int], templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> list[tuple]:
-    """One row per template and prefix place: (token, tid, label, place, size, need, before, words)."""
+    """One row per template and prefix place: (token, tid, label, place, size, need, before, words, links).
+
+    links are the pairs of words between which a line break may fall.
+    """
     rows = []
     for tid, (label, text) in enumerate(templates):
         words = sorted(_words(text), key=lambda w: (frequencies.get(w, 0), w))
         need = -int(-containment * len(words) // 1)
+        told = re.findall(r"[a-z0-9]+", text.lower())
+        links = sorted({f"{a} {b}" for i, a in enumerate(told) for b in told[i + 1 : i + 2]})
         for place in range(len(words) - need + 1):
-            rows.append((words[place], tid, label, place, len(words), need, words[:place], words))
+            rows.append((words[place], tid, label, place, len(words), need, words[:place], words, links))
     return rows
 
 
+def _held(lines: Column, words: Column, links: Column) -> Column:
+    """The most template words that a block of the lines holds."""
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, line: Column) -> Column:
+        told = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+        lead = F.get(told, F.lit(0))
+        linked = F.array_contains(links, F.concat(state.last, F.lit(" "), lead)) | (lead == state.lead) & F.array_contains(links, F.concat(state.last, F.lit(" "), F.get(told, F.lit(1))))
+        run = F.array_union(F.when(linked, state.run).otherwise(none), F.array_intersect(words, told))
+        return F.struct(run.alias("run"), lead.alias("lead"), F.get(told, F.size(told) - 1).alias("last"), F.greatest(state.best, F.size(run)).alias("best"))
+
+    start = F.struct(none.alias("run"), F.lit(None).cast("string").alias("lead"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("best"))
+    return F.aggregate(lines, start, step, lambda state: state.best)
+
+
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, h, line, label, tid, contained): every line and template that meet the threshold.
+    """(doc_id, h, part, label, tid, contained): every paragraph and template of which a block meets the threshold.
 
-    h is xxhash64 of the text; repeated rows give repeated matches.
+    h is xxhash64 of the text, contained that of the best block; repeated rows give repeated matches.
     """
     vocabulary = sorted({w for _, text in templates for w in _words(text)})
     index = template_index(word_frequencies(docs, vocabulary), templates, containment)
     prefix = sorted({row[0] for row in index})
-    known = docs.sparkSession.createDataFrame(index, "token string, tid int, label string, place int, size int, need int, before array<string>, words array<string>")
+    known = docs.sparkSession.createDataFrame(index, "token string, tid int, label string, place int, size int, need int, before array<string>, words array<string>, links array<string>")
     rare = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(prefix) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    lines = docs.where(F.col("text").rlike(rare)).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    blocks = lines.where(F.col("block").rlike(rare)).select("doc_id", "h", "line", F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("block")), F.lit(WORD), F.lit(0))).alias("found"))
+    parts = docs.where(F.col("text").rlike(rare)).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", PARAGRAPH)).alias("part", "block"))
+    parts = parts.where(F.col("block").rlike(rare)).withColumn("block", ascii_lower(F.col("block")))
+    blocks = parts.select("doc_id", "h", "part", "block", F.array_distinct(F.regexp_extract_all("block", F.lit(WORD), F.lit(0))).alias("found"))
     keyed = blocks.withColumn("token", F.explode(F.array_intersect("found", F.array(*map(F.lit, prefix)))))
     met = keyed.join(F.broadcast(known), "token").where(
         (F.size("found") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")) & ~F.arrays_overlap("found", "before")
     )
-    held = met.withColumn("held", F.size(F.array_intersect("words", "found"))).where("held >= need")
-    return held.select("doc_id", "h", "line", "label", "tid", (F.col("held") / F.col("size")).alias("contained"))
+    able = met.where(F.size(F.array_intersect("words", "found")) >= F.col("need"))
+    held = able.withColumn("held", _held(F.split("block", "\n"), F.col("words"), F.col("links"))).where("held >= need")
+    return held.select("doc_id", "h", "part", "label", "tid", (F.col("held") / F.col("size")).alias("contained"))
 
 
 def _places(words: Column, phrase: tuple[str, ...]) -> Column:
