@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from veilframe.llm import decontaminate, html_text, language, licenses, secret_scan, toxicity
+from veilframe.llm import decontaminate, language, licenses, secret_scan, toxicity
 from veilframe.llm.common import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -217,40 +217,6 @@ def test_toxicity_on_held_out_documents(spark, make_docs, odd_rows):
     assert toxicity.toxicity(make_docs([]), labels, model).count() == 0
 
 
-PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
-<div id="cookie-notice"><p>We use cookies.</p></div><header><h1>Site name</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
-<div class="sidebar"><p>Related things to read, of any length whatsoever.</p></div><!-- <p>no</p> -->
-<article><h1>The&nbsp;title &amp; more</h1><p>First <b>bold</b>ly said,
- and so on.<p>Second&#233; one.<br>After a break.<form><p>Your mail</p><input></form><div class="ad">Buy this now.</div></article>
-<section id="comments"><p>A reader says that this was good, truly.</p></section><footer>&copy; us</footer></body></html>"""
-
-
-def test_main_text(spark):
-    want = "The title & more First boldly said, and so on. Secondé one. After a break."
-    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "v", PAGE), (1, "u", PAGE), (4, "w", "<p>plain &lt;words&gt;, no cues.</p>"), (5, "w", "<script>x")]
-    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
-    got = sorted(html_text.extracted(pages).collect(), key=lambda r: (r.page_id or 0, r.text))
-    assert [(r.page_id, r.text) for r in got] == [(None, want), (1, want), (1, want), (2, ""), (3, ""), (4, "plain <words>, no cues."), (5, "")]
-    assert all(r.n_chars == len(r.text) for r in got)
-    assert html_text.extracted(pages.where("false")).count() == 0
-
-
-def test_minimum_cut_matches_enumeration():
-    from itertools import product
-
-    rng = random.Random(12)
-    for _ in range(60):
-        n = rng.randint(1, 8)
-        lean = [rng.uniform(-2, 2) for _ in range(n)]
-        edges = [(a, b, rng.uniform(0, 1.5)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
-
-        def cost(side, lean=lean, edges=edges):
-            return sum(max(x, 0) if not s else max(-x, 0) for x, s in zip(lean, side, strict=True)) + sum(c for a, b, c in edges if side[a] != side[b])
-
-        best = min(cost(s) for s in product((False, True), repeat=n))
-        assert cost(html_text.minimum_cut(lean, edges)) == pytest.approx(best)
-
-
 @pytest.mark.parametrize("unit", ["x", "a1", "ab-", "a.", "a=", "a:", "a=b+", "token=b1b1b1b1+", 'a="', "a['b-"])
 def test_secret_lexer_takes_linear_time(unit):
     def seconds(n):
