@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, language, licenses, secret_scan, toxicity
 from veilframe.llm.common import table
@@ -203,6 +204,77 @@ def test_marginals_match_enumeration():
     assert toxicity.marginals(emissions, sizes, transition) == pytest.approx(np.r_[brute(emissions[:4]), brute(emissions[4:])])
 
 
+def test_chance_of_no_toxic_token_matches_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    emissions, transition, sizes = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([4, 0, 1, 4])
+
+    def brute(e):
+        weigh = lambda y: np.exp(sum(a * b for a, b in zip(e, y, strict=True)) + sum(transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+        return np.log(weigh([0] * len(e)) / sum(weigh(y) for y in product((0, 1), repeat=len(e))))
+
+    forward = toxicity._forward(np.exp(emissions), sizes, np.exp(transition))
+    assert toxicity.none_toxic(emissions, sizes, transition, forward) == pytest.approx([brute(emissions[:4]), 0.0, brute(emissions[4:5]), brute(emissions[5:])])
+
+
+def insults(rng, plain, n, toxic):
+    """Texts in which "brick" insults after "you" and means a brick elsewhere."""
+    out = []
+    for _ in range(n):
+        words = rng.choices(plain, k=30)
+        words[rng.randint(3, 25) : 26] = ["you", "brick"] if toxic else ["the", "brick"]
+        words += rng.choices(plain, k=rng.randint(0, 9)) + ["you", "the"]
+        out.append((" ".join(words).encode(), int(toxic)))
+    return out
+
+
+def test_the_field_learns_context_that_no_word_list_holds():
+    rng = random.Random(8)
+    plain = [f"w{i}" for i in range(400)]
+    train = insults(rng, plain, 150, True) + insults(rng, plain, 600, False)
+    fresh = insults(rng, plain, 60, True) + insults(rng, plain, 200, False)
+    model = toxicity.fit(train)
+    scores, spans = toxicity.score_texts([t for t, _ in fresh], model)
+    assert np.mean([(s >= 0.5) == y for s, (_, y) in zip(scores, fresh, strict=True)]) > 0.95
+    tagged = {text[:b].decode().split()[-2] for (text, _), s in zip(fresh, spans, strict=True) for a, b in s if text[a:b] == b"brick"}
+    assert tagged == {"you"}
+
+
+def test_scores_match_enumeration(make_docs):
+    """Every score of the query, from marginals by enumeration of all labellings."""
+    from itertools import product
+
+    rng = random.Random(21)
+    plain = ["one", "two", "three", "four", "idiot", "scum", "fools"]
+    train = [(" ".join(rng.choices(plain[:4], k=8) + (rng.choices(plain[4:], k=2) if i % 3 == 0 else [])).encode(), int(i % 3 == 0)) for i in range(240)]
+    model = toxicity.fit([(b"%d " % i + t, y) for i, (t, y) in enumerate(train)])
+    rows = [(i, " ".join(rng.choices(plain, k=rng.randint(0, 8))), None, None) for i in range(60)] + [(100, None, None, None), (None, "idiot idiot", None, None), (7, "two", None, None), (7, "two", None, None)]
+    got = {(r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.toxicity(make_docs(rows), None, model).collect()}
+
+    def weight(word, k):
+        return sum(model.units[u][k] for u in toxicity.units_of(word) if u in model.units)
+
+    def brute(text):
+        words = [w.encode() for w in WORD.findall(lowered(text))]
+        emit = [model.bias + weight(w, 0) + (weight(words[i - 1], 1) if i else 0) + (weight(words[i + 1], 2) if i + 1 < len(words) else 0) for i, w in enumerate(words)]
+        total, p = 0.0, np.zeros(len(words))
+        for y in product((0, 1), repeat=len(words)):
+            chance = np.exp(sum(a * b for a, b in zip(emit, y, strict=True)) + sum(model.transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total, p = total + chance, p + chance * np.array(y)
+        p = p / total if len(words) else p
+        x = np.array([1, p.max(), np.log1p(p.sum()), np.log1p(1000 * p.sum() / len(p))]) if len(words) else np.array([1, 0, 0, 0])
+        return 1 / (1 + np.exp(-np.clip(x @ model.document, -30, 30)))
+
+    import zlib
+
+    want = set()
+    for i, text, _, _ in rows:
+        score = brute(text)
+        want.add((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(float(score), 9), int(score >= 0.5)))
+    assert got == want
+
+
 def test_toxicity_on_held_out_documents(spark, make_docs, odd_rows):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
@@ -217,6 +289,26 @@ def test_toxicity_on_held_out_documents(spark, make_docs, odd_rows):
     assert toxicity.toxicity(make_docs([]), labels, model).count() == 0
 
 
+def area(scores, labels):
+    """Area under the curve: chance that a toxic document scores above a clean one, ties half."""
+    scores, labels = np.array(scores), np.array(labels)
+    return np.mean([(scores[labels == 0] < s).mean() + (scores[labels == 0] == s).mean() / 2 for s in scores[labels == 1]])
+
+
+def test_the_field_beats_its_own_word_list(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select("doc_id", "text", "toxic", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").alias("held")).collect()
+    train = sorted({((r.text or "").encode(), r.toxic) for r in rows if not r.held and len(r.text or "") <= toxicity.SAMPLE_CHARS})
+    fresh = [((r.text or "").encode(), r.toxic) for r in rows if r.held]
+    truth = np.array([y for _, y in fresh])
+    marking = toxicity._marking([t for t, _ in train], np.array([y for _, y in train]))
+    listed = np.array([any(u in marking for w in toxicity.words_of(t) for u in toxicity.units_of(w)) for t, _ in fresh])
+    scores, _ = toxicity.score_texts([t for t, _ in fresh], toxicity.fit(train))
+    assert area(scores, truth) > area(listed, truth) + 0.005
+    assert (scores >= 0.5)[truth == 1].mean() > listed[truth == 1].mean()
+    assert ((scores >= 0.5) == truth).mean() > (listed == truth).mean()
+
+
 @pytest.mark.parametrize("unit", ["x", "a1", "ab-", "a.", "a=", "a:", "a=b+", "token=b1b1b1b1+", 'a="', "a['b-"])
 def test_secret_lexer_takes_linear_time(unit):
     def seconds(n):

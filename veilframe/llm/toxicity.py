@@ -1,11 +1,15 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; marginals make the score.
 
-Training labels words first: words and word beginnings that mark toxic documents of a bounded sample
-significantly more than clean ones label the tokens. The field (one emission weight per word or
-word beginning, two labels, four transition weights) is fitted to those token labels by gradient
-ascent with forward-backward. A document's score is a logistic function of its token marginals:
-their largest, their sum, and their share. Scoring reads each text whole, where it lies, with no
-shuffle; forward-backward runs in step over many documents of like length.
+Labels exist only per document, so the field is learned in two steps. Words and word beginnings that
+mark toxic documents of a bounded sample significantly label the tokens of a first fit. Then the
+likelihood of the document labels themselves is raised: a document is toxic when any of its tokens is,
+with some noise, and the chance that none is comes from the forward messages; its gradient is the
+expected token labels under the document's label less those without it. So words that the list lacks
+are learned from the documents that they explain, by themselves and by their neighbours: a token's
+weight is that of its word and word beginnings, and of those before and after it. A document's
+score is a logistic function of its token marginals: their largest, their sum, and their share.
+Scoring reads each text whole, where it lies, with no shuffle; forward-backward runs in step over
+many documents of like length.
 """
 
 from __future__ import annotations
@@ -32,29 +36,67 @@ EVIDENCE = 4.0  # likelihood ratio statistic a marking word must reach, beyond 2
 SAME_DOCUMENTS = 0.8  # overlap from which units of different beginnings count as one passage
 SPAN = 40  # tokens of a training sequence
 STEPS = 50
+BAG_SPAN = 64  # tokens of a chain of the second fit
+BAG_CHAINS = 6  # chains of a clean document there, at seeded places; toxic documents are read whole
+BAG_STEPS = 40
+RATE = 0.1
+#: Pull of a weight to the first fit's; how many times that for neighbours' weights, and for the bias and transitions.
+PENALTY, NEIGHBOURS, SHARED = 0.3, 4.0, 400.0
+LOOSE = 20  # toxic documents that must hold a listed word for half of its weight in the first fit
+MISSED, FALSE = 0.05, 0.01  # chances that a document with a toxic token is labelled clean, and one without toxic
+UNIT_COUNT, CONTEXT_COUNT = 4, 30  # occurrences from which a word or beginning is learned, and as a neighbour
 TOKENS_AT_ONCE = 400_000
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 @dataclass
 class Model:
-    units: dict[bytes, float] = field(default_factory=dict)  # emission weight of a word or beginning
+    #: Weights of a word or word beginning: at the token itself, before it, and after it.
+    units: dict[bytes, tuple[float, float, float]] = field(default_factory=dict)
     bias: float = -4.0
     transition: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     document: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0, 0.0]))
-    cache: dict[bytes, float] = field(default_factory=dict)
+    cache: dict[bytes, int] = field(default_factory=dict)
+    rows: list[tuple[float, float, float]] = field(default_factory=list)
 
-    def emission(self, word: bytes) -> float:
-        """Log-odds of the toxic label from the word alone."""
+    def row(self, word: bytes) -> int:
+        """Place in rows of the word's weights."""
         got = self.cache.get(word)
         if got is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            got = self.cache[word] = self.bias + sum(self.units.get(u, 0.0) for u in units_of(word))
+            known = [self.units[u] for u in units_of(word) if u in self.units]
+            got = self.cache[word] = len(self.rows)
+            self.rows.append(tuple(map(sum, zip(*known, strict=True))) if known else (0.0, 0.0, 0.0))
         return got
 
+    def emissions(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the toxic label of every token, from it and its neighbours, laid end to end; and the sizes."""
+        if len(self.rows) > CACHED:
+            self.cache.clear()
+            self.rows.clear()
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        row = self.row
+        at = np.fromiter((row(w) for t in tokens for w in t), np.int64, int(sizes.sum()))
+        weights = np.array(self.rows or [(0.0, 0.0, 0.0)])
+        return self.bias + _placed(weights[:, 0], weights[:, 1], weights[:, 2], at, sizes), sizes
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "rows": []}
+
+
+#: Words whose weights a worker keeps.
+CACHED = 300_000
+
+
+def _placed(own: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each token's own weight, that of its left neighbour as such, and that of its right one."""
+    out = own[at]
+    if len(at) > 1:
+        ends = np.cumsum(sizes)[:-1]
+        joined = np.ones(len(at) - 1)
+        joined[ends[(ends > 0) & (ends < len(at))] - 1] = 0  # the last of a sequence has none after it
+        out[1:] += before[at[:-1]] * joined
+        out[:-1] += after[at[1:]] * joined
+    return out
 
 
 def units_of(word: bytes) -> list[bytes]:
@@ -109,9 +151,7 @@ def _features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _tokens_marginals(tokens: list[list[bytes]], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    emit = model.emission
-    emissions = np.fromiter((emit(w) for t in tokens for w in t), np.float64, int(sizes.sum()))
+    emissions, sizes = model.emissions(tokens)
     return marginals(emissions, sizes, model.transition), sizes
 
 
@@ -207,7 +247,7 @@ def _fit_field(sequences: list[list[bytes]], marking: set[bytes], model: Model)
         mean += 0.1 * (gradient - mean)
         square += 0.01 * (gradient * gradient - square)
         theta += 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    model.units = {u: float(theta[i]) for u, i in index.items() if abs(theta[i]) > 1e-3}
+    model.units = {u: (float(theta[i]), 0.0, 0.0) for u, i in index.items() if abs(theta[i]) > 1e-3}
     model.bias, model.transition = float(theta[-5]), theta[-4:].reshape(2, 2).copy()
 
 
@@ -221,6 +261,98 @@ def _forward(weight: np.ndarray, sizes: np.ndarray, a: np.ndarray) -> np.ndarray
     return out
 
 
+def none_toxic(emissions: np.ndarray, sizes: np.ndarray, transition: np.ndarray, forward: np.ndarray) -> np.ndarray:
+    """Log probability, for each sequence laid end to end, that no token of it is toxic.
+
+    forward holds the ratios of the forward messages (see _forward), of which the normalising sum is made.
+    """
+    a = np.exp(transition)
+    out = np.zeros(len(sizes))
+    if not len(forward):
+        return out
+    starts = np.cumsum(sizes) - sizes
+    # The messages of the clean label grow by a[0,0] + a[1,0] * ratio a step; the path of clean labels by a[0,0].
+    grown = np.log1p(a[1, 0] / a[0, 0] * forward)
+    full = sizes > 0
+    whole = np.add.reduceat(grown, starts[full])
+    last = forward[starts[full] + sizes[full] - 1]
+    out[full] = -(whole - np.log1p(a[1, 0] / a[0, 0] * last) + np.log1p(last))
+    return out
+
+
+def _raise_likelihood(texts: list[bytes], toxic: np.ndarray, model: Model, rng: np.random.Generator) -> None:
+    """Gradient ascent (Adam) on the penalised likelihood of the document labels, from the first fit on."""
+    vocabulary: dict[bytes, int] = {}
+    chains: list[np.ndarray] = []
+    bag: list[int] = []
+    for d, text in enumerate(texts):
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32)
+        parts = [ids[i : i + BAG_SPAN] for i in range(0, len(ids), BAG_SPAN)]
+        if not toxic[d] and len(parts) > BAG_CHAINS:
+            parts = [parts[i] for i in sorted(rng.choice(len(parts), BAG_CHAINS, replace=False))]
+        chains += parts
+        bag += [d] * len(parts)
+    if not chains:
+        return
+    at, sizes, bag = np.concatenate(chains), np.array([len(c) for c in chains], np.int64), np.array(bag)
+    words = list(vocabulary)
+    seen = np.bincount(at, minlength=len(words))
+    counts: Counter = Counter()
+    backed = Counter(u for text, y in zip(texts, toxic, strict=True) if y for u in _doc_units(text))
+    for w, n in zip(words, seen.tolist(), strict=True):
+        for u in units_of(w):
+            counts[u] += n
+    kept = {u: i for i, u in enumerate(sorted(u for u, n in counts.items() if n >= UNIT_COUNT or u in model.units))}
+    near = np.array([counts[u] >= CONTEXT_COUNT for u in kept])
+    col = np.fromiter((kept.get(u, -1) for w in words for u in units_of(w)), np.int64)
+    row = np.repeat(np.arange(len(words)), np.fromiter((len(units_of(w)) for w in words), np.int64, len(words)))[col >= 0]
+    col, n = col[col >= 0], len(kept)
+    theta = np.zeros(3 * n + 5)
+    for u, i in kept.items():
+        # What the first fit has against a word is only that the list lacks it; what few documents back is held loosely.
+        theta[i] = max(0.0, model.units.get(u, (0.0,))[0]) * backed[u] / (backed[u] + LOOSE)
+    theta[-5], theta[-4:] = model.bias, model.transition.ravel()
+    start = theta.copy()  # the penalty draws to the first fit
+    penalty = np.repeat([PENALTY, NEIGHBOURS * PENALTY, NEIGHBOURS * PENALTY], n)
+    mean, square = np.zeros(len(theta)), np.zeros(len(theta))
+    ends = np.cumsum(sizes)
+    joined = np.ones(len(at) - 1)
+    joined[ends[:-1] - 1] = 0
+    inner = np.flatnonzero(joined) + 1
+    owner = np.repeat(bag, sizes)
+    sign = np.where(toxic == 1, 1.0, -1.0)
+    for step in range(1, BAG_STEPS + 1):
+        own, before, after = (np.bincount(row, theta[k * n : (k + 1) * n][col], len(words)) for k in range(3))
+        emissions = theta[-5] + _placed(own, before, after, at, sizes)
+        transition = theta[-4:].reshape(2, 2)
+        a, weight = np.exp(transition), np.exp(np.clip(emissions, -30, 30))
+        forward = _forward(weight, sizes, a)
+        p = marginals(emissions, sizes, transition)
+        none = np.exp(np.bincount(bag, none_toxic(emissions, sizes, transition, forward), len(texts)))
+        seen_label = np.where(toxic == 1, (1 - none) * (1 - MISSED) + none * FALSE, (1 - none) * MISSED + none * (1 - FALSE))
+        factor = sign * none * (1 - MISSED - FALSE) / seen_label  # of expected features less those of the clean path
+        pull = factor[owner] * p
+        odds = p / np.maximum(1 - p, 1e-12)
+        back = odds[inner] / np.maximum(forward[inner], 1e-12)
+        cells = np.stack([np.full(len(inner), a[0, 0]), a[0, 1] * weight[inner] * back, forward[inner - 1] * a[1, 0], forward[inner - 1] * a[1, 1] * weight[inner] * back])
+        pairs = cells / cells.sum(0)
+        pairs[0] -= 1
+        by_word = np.bincount(at, pull, len(words))
+        by_left = np.bincount(at[:-1], pull[1:] * joined, len(words))
+        by_right = np.bincount(at[1:], pull[:-1] * joined, len(words))
+        gradient = np.concatenate([np.bincount(col, g[row], n) for g in (by_word, by_left, by_right)] + [[pull.sum()], (pairs * factor[owner[inner]]).sum(1)])
+        gradient[n : 2 * n] *= near
+        gradient[2 * n : 3 * n] *= near
+        gradient[: 3 * n] -= penalty * (theta - start)[: 3 * n]
+        gradient[-5:] -= SHARED * PENALTY * (theta - start)[-5:]
+        gradient /= len(texts)
+        mean += 0.1 * (gradient - mean)
+        square += 0.01 * (gradient * gradient - square)
+        theta += RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    model.units = {u: tuple(theta[[i, n + i, 2 * n + i]].tolist()) for u, i in kept.items() if np.abs(theta[[i, n + i, 2 * n + i]]).max() > 1e-2}
+    model.bias, model.transition = float(theta[-5]), theta[-4:].reshape(2, 2).copy()
+
+
 def fit(samples: list[tuple[bytes, int]], seed: int = 3) -> Model:
     """Fit field and document score to (UTF-8 text, 0 or 1). Near copies count once."""
     model = Model()
@@ -250,8 +382,10 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 3) -> Model:
             at = max(0, c - int(rng.integers(0, SPAN)))
             sequences.append(words[at : at + SPAN])
     _fit_field(sequences, marking, model)
+    _raise_likelihood(texts, toxic, model, rng)
     parts = [_features(*_tokens_marginals([words_of(t) for t in texts[i : i + 500]], model)) for i in range(0, len(texts), 500)]
     model.cache.clear()
+    model.rows.clear()
     x, w = np.concatenate(parts), np.zeros(4)
     for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
         q = _sigmoid(x @ w)
@@ -276,9 +410,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         limit = F.when(F.col("toxic") == value, min(wide, most * wide // max(1, counts.get(value, 0)))).otherwise(limit)
     most = 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < limit).limit(most)
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < limit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(most).collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").orderBy("h", "text").limit(most).collect()
     return fit([(r.text.encode("utf-8", "replace"), r.toxic) for r in found])
 
 
@@ -329,7 +463,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     labels (doc_id, toxic) teaches only through rows that aren't held out. Null, empty and wordless
     texts get the score of a document without toxic tokens. Without labels of both kinds all
     documents get one score. spans is start:end of offending words in code points, comma-joined.
-    Rows with a null doc_id are not held out; repeated rows stay; other columns are ignored.
+    Rows with a null doc_id are not held out; repeated rows stay; other columns are ignored. Texts of
+    any length are read whole. An empty table gives an empty result; equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
 
