@@ -33,8 +33,8 @@ def brute_contamination(text, items, window=10):
     return len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_contamination_matches_brute_force(spark, make_docs, odd_rows, block_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"table_bytes": 300}, {"table_bytes": 300, "shifts": 16, "pairs": 64}])
+def test_contamination_matches_brute_force(spark, make_docs, odd_rows, sizes):
     rng = random.Random(1)
     vocabulary = ["the", "of", "Été", "x1", *[f"v{i}" for i in range(12)]]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 9, 10, 14, 25])))) for i in range(15)] + [(99, None), (98, "..."), (3, "second text of item three, which is longer than ten words in all")]
@@ -42,16 +42,28 @@ def test_contamination_matches_brute_force(spark, make_docs, odd_rows, block_byt
     rows = [(100 + i, t, None, None) for i, t in enumerate(texts)] + odd_rows
     bench = spark.createDataFrame([(*x, "y") for x in items], "item_id long, text string, items string")
     docs = make_docs(rows)
-    got = decontaminate.contamination(docs, bench, block_bytes=block_bytes).drop("items").collect()
+    got = decontaminate.contamination(docs, bench, **sizes).drop("items").collect()
     want = [(i, *brute_contamination(t, items[:15] + items[17:])) for i, t, _, _ in rows]
     key = lambda r: (r[0] or 0, *r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    clean = decontaminate.without_contaminated(docs, bench, block_bytes=block_bytes)
+    clean = decontaminate.without_contaminated(docs, bench, **sizes)
     assert sorted(r.doc_id or 0 for r in clean.collect()) == sorted(r[0] or 0 for r in want if not r[-1])
     assert not [r for r in decontaminate.contamination(docs, bench.where("false")).collect() if r.contaminated]
     assert decontaminate.contamination(make_docs([]), bench).count() == 0
 
 
+def test_a_large_benchmark_takes_a_fixed_number_of_operators(spark, make_docs):
+    docs = make_docs([(i, f"w{i} " + " ".join(f"v{(i * 7 + k) % 90}" for k in range(30)), None, None) for i in range(40)])
+    plans = []
+    for n in (5, 400):
+        bench = spark.createDataFrame([(i, " ".join(f"v{(i * 11 + k * (1 + i % 3)) % 90}" for k in range(14))) for i in range(n)], "item_id long, text string")
+        found = decontaminate.contamination(docs, bench, table_bytes=0)
+        plans.append(found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow"))
+        want = {r.doc_id: (r.n_hit, r.items_sha256) for r in decontaminate.contamination(docs, bench).collect()}
+        assert {r.doc_id: (r.n_hit, r.items_sha256) for r in found.collect()} == want
+    assert plans[0] == plans[1]
+
+
 def brute_base(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text or "") if len(m[2]) >= 8]
