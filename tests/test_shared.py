@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -29,4 +30,8 @@ df.write.parquet(new_path(spark, "kept"))
 spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+    for _ in range(100):  # the JVM ends a little after its driver
+        if len(list(tmp_path.iterdir())) == 1:
+            break
+        time.sleep(0.1)
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
