@@ -98,6 +98,30 @@ def test_odd_rows_of_near_duplicates(make_docs, odd_rows):
     assert near_dup.near_duplicates(make_docs([])).count() == 0
 
 
+def test_keep_one_drops_only_rows_linked_to_kept_ones(make_docs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=900)) for _ in range(12)]
+    near = texts[0] + " changed"
+    rows = [(1, texts[0], "en", "a"), (1, texts[1], "en", "a"), (None, texts[2], None, "b"), (None, texts[2], None, "b"), (None, texts[0], None, "b"), (5, near, "en", "a"), (6, texts[3], "en", "a"), (6, texts[3], "fr", "a"), (None, texts[4], None, None)]
+    rows += [(7, texts[5], "en", "hot")] * 300 + [(None, texts[6], None, "hot")] * 300
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(make_docs(rows).repartition(5)).collect()]
+    prints = {t: brute_fingerprint(t) for t in {t for _, t, *_ in rows}}
+    linked = lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 4
+    assert linked(texts[0], near)
+    assert sorted((i or 0, t) for i, t in kept) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (6, texts[3]), (0, texts[4]), (7, texts[5]), (0, texts[6])])
+    assert near_dup.keep_one(make_docs([])).count() == 0
+
+
+def test_more_large_keys_than_are_broadcast(spark):
+    rng = np.random.default_rng(1)
+    centre = int(rng.integers(-(2**62), 2**62))
+    close = {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (300, 2))}
+    frame = spark.createDataFrame([(x,) for x in close], "fp long")
+    few = near_dup.fingerprint_links(frame, part=20, sample=1, broadcast_keys=3)
+    assert {r.label for r in components.component_labels(few).collect()} == {min(close)}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
     rng = random.Random(3)

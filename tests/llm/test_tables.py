@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from veilframe.llm import mixing, queries, url_filter
+from veilframe.llm import common, mixing, queries, url_filter
 
 
 def test_intervals_and_as_of(spark):
@@ -26,6 +26,34 @@ def test_intervals_and_as_of(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_paths_of_any_depth_judge(spark):
+    at = dt.datetime(2024, 1, 1)
+    deep = "h.com/" + "/".join(f"d{i}" for i in range(40))
+    entries = spark.createDataFrame([("h.com", "allow", at), ("h.com/a/b/c", "block", at), (deep, "block", at), (".".join(f"l{i}" for i in range(1, 30)), "block", at)], "key string, action string, at timestamp")
+    urls = ["http://h.com/a/b/c/d", "http://h.com/a/b", "http://h.com//a/b//c", f"http://{deep}/more?q", "http://" + ".".join(f"l{i}" for i in range(30))]
+    pages = spark.createDataFrame([(i, u, at) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, entries).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "block"}
+
+
+def test_changes_of_one_key_follow_each_other_across_days(spark):
+    start = dt.datetime(2024, 1, 1)
+    hours = [0, 3, 9, 30, 31, 200, 500]
+    entries = spark.createDataFrame([("h.com", ("block", "allow")[i % 2], start + dt.timedelta(hours=h)) for i, h in enumerate(hours)], "key string, action string, at timestamp")
+    got = sorted((r.valid_from, r.valid_to) for r in url_filter.validity_intervals(entries).collect())
+    want = [start + dt.timedelta(hours=h) for h in hours]
+    assert got == list(zip(want, [*want[1:], None], strict=True))
+
+
+def test_rows_of_hot_keys_keep_all_their_facts(spark):
+    rows = spark.createDataFrame([("hot", i % 3) for i in range(4000)] + [(f"k{i % 50}", i) for i in range(300)] + [(None, 1), ("alone", 1)], "key string, x int")
+    facts = spark.createDataFrame([("hot", "a"), ("hot", "b"), *((f"k{i}", "c") for i in range(50)), ("none", "d")], "key string, fact string")
+    assert {r.key for r in common.hot_keys(rows, "key").collect()} == {"hot"}
+    got = sorted(map(tuple, common.attached(rows.repartition(7), facts, "key").collect()))
+    assert got == sorted(map(tuple, rows.join(facts, "key").collect()))
+    assert common.attached(rows.where("false"), facts, "key").count() == 0
+
+
 def test_url_filter_matches_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from veilframe.sources.shared import removed, shared_dir, written
 
-__all__ = ["ascii_lower", "attached", "held_out", "mapped", "removed", "shared_dir", "small_batches", "table", "utf8", "written"]
+__all__ = ["ascii_lower", "attached", "held_out", "hot_keys", "mapped", "removed", "row_key", "shared_dir", "small_batches", "table", "utf8", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -31,21 +31,44 @@ def held_out(col: Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-#: Parts into which the rows of one key are dealt by attached().
-SALTS = 256
+#: Keys that hold more than one row in so many are dealt out, in parts of that share, or of PART_ROWS if fewer.
+SHARES = 512
+PART_ROWS = 1_000_000
+#: At most so many keys are ever known as hot; see `hot_keys`.
+HOT_KEYS = 200_000
 
 
-def attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Inner equi-join of rows to facts, which has one row a key, where a key may hold most rows.
+def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """(key, parts) of the keys whose rows should be dealt to several tasks, few enough to broadcast.
 
-    Rows are salted by a hash of all their columns. The distinct (key, salt) meet the facts first,
-    at most SALTS rows a key, and the rows then meet those on both, so one key's rows are dealt to
-    SALTS tasks; no key needs to be known as hot. Equal rows share a salt. The last join always
+    A key is hot above 1 / SHARES of all rows, or above PART_ROWS; where that would be more than
+    HOT_KEYS keys, above 1 / HOT_KEYS of all rows, so there are never more. Keys are counted with a
+    map-side combine. Give total, the number of rows, if it is known.
+    """
+    total = rows.count() if total is None else total
+    most = max(1, min(total // SHARES, PART_ROWS), total // HOT_KEYS)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) & F.col(key).isNotNull())
+    return counted.select(F.col(key), F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Inner equi-join of rows to facts on key, where a key may hold most rows and few facts.
+
+    Rows of a hot key are dealt to parts by their contents and by the input partition they come from, so
+    repeats of one row are dealt out too; the key's facts go to every part. The join always
     shuffles: if few rows were broadcast instead, one key's would leave from the task of its fact.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    known = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.hint("merge").join(known, [key, "_salt"]).drop("_salt")
+    hot = F.broadcast(hot_keys(rows, key, total))
+    spread = F.xxhash64(*rows.columns).bitwiseXOR(F.xxhash64(F.spark_partition_id()))
+    dealt = rows.withColumn("_spread", spread).join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod("_spread", "parts"), F.lit(0)).cast("int")).drop("_spread", "parts")
+    every = facts.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return dealt.hint("merge").join(every, [key, "_part"]).drop("_part")
+
+
+def row_key() -> Column:
+    """A row's document as a join key: rows of one doc_id and text are alike, and nulls are values."""
+    text = F.col("text").cast("string")
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(text.isNull(), "n").otherwise(":"), F.hex(F.xxhash64(text)), F.hex(F.crc32(F.coalesce(text, F.lit("")).cast("binary"))))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is an aggregate
-(combined before the shuffle) and an equi-join against one row per node, dealt out by salts where a
-node may have very many links; no neighbour list is ever gathered.
+(combined before the shuffle) and an equi-join against one row per node, dealt out to parts where a
+node has very many links; no neighbour list is ever gathered.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import attached, removed, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return attached(both.where("v > u"), low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return attached(both.where("v > u"), low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = attached(edges, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -44,7 +44,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     if seen[0] == 0:
         return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
     for _ in range(max_rounds):
-        following, next_path = written(_small(_large(current)), "links")
+        following, next_path = written(_small(_large(current, seen[0]), seen[0]), "links")
         now = _digest(following)
         removed(spark, path)
         current, path = following, next_path

@@ -22,10 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import attached, mapped, small_batches, utf8, written
+from veilframe.llm.common import attached, mapped, row_key, small_batches, utf8, written
 
 WINDOW = 10
 #: Benchmark text whose tables go to every worker, which holds about 50 times this in memory.
@@ -214,11 +214,6 @@ def candidates(words: list[bytes], tables: dict[int, np.ndarray], bits: np.ndarr
     return out
 
 
-def _key() -> Column:
-    """A row's document as a join key: rows of one id and text are alike."""
-    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64("text")), F.lit(":"), F.hex(F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
-
-
 def _met(rows: DataFrame, items: DataFrame, window: int, shifts: int, pairs: int) -> DataFrame:
     """(key, n_hit, items) of documents in which windows occur; rows are (key, text)."""
     windows, _ = written(_windows(items, window), "windows")
@@ -272,7 +267,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
         done = mapped(rows, scan, "doc_id long, n_words long, n_hit long, items array<string>")
     else:
-        keyed = rows.withColumn("key", _key())
+        keyed = rows.withColumn("key", row_key())
         met = _met(keyed.select("key", "text"), items, window, shifts, pairs)
         counted = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
         facts = counted.select("key").distinct().join(met, "key", "left")
@@ -304,8 +299,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 yield batch.filter(pa.array([not patterns.hits(words_of(t))[0] for t in utf8(batch.column("text"))], pa.bool_()))
 
         return small_batches(docs).mapInArrow(keep, docs.schema)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", _key())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", row_key())
     met = _met(rows.select("key", "text"), items, window, shifts, pairs).select("key", F.lit(True).alias("_met"))
     facts = rows.select("key").distinct().join(met, "key", "left").withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("_key", _key())
+    keyed = docs.withColumn("_key", row_key())
     return attached(keyed, facts, "_key").where("_met is null").select(*docs.columns)

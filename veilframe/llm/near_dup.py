@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import attached, mapped, utf8, written
+from veilframe.llm.common import attached, mapped, row_key, utf8, written
 from veilframe.llm.components import component_labels
 from veilframe.llm.golay import nearby_indices
 
@@ -36,7 +36,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PART = 20_000
 #: One fingerprint in so many is looked at to find large keys.
 SAMPLE = 64
-#: Large keys are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
+#: The so many largest keys are broadcast (16 bytes each); further ones hold few members each and meet theirs by a shuffle.
 BROADCAST_KEYS = 200_000
 _LANE = np.uint64(0x0101010101010101)
 
@@ -89,13 +89,14 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Input needs doc_id and text."""
+def fingerprint_table(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """(doc_id, fp), and the row's key if asked: fp is the fingerprint as a signed long. Input needs doc_id and text."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints_of(utf8(batch.column("text"))).view(np.int64))}
+        return {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"fp": pa.array(fingerprints_of(utf8(batch.column("text"))).view(np.int64))}
 
-    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([row_key().alias("key")] if keys else []))
+    return mapped(rows, run, "doc_id long, fp long" + ", key string" * keys)
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +192,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit([a], [b])
 
 
-def fingerprint_links(fps: DataFrame, part: int = PART, sample: int = SAMPLE) -> DataFrame:
+def fingerprint_links(fps: DataFrame, part: int = PART, sample: int = SAMPLE, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Distinct fingerprints (fp) to distinct links (u, v) whose closure joins all within MAX_BITS."""
     seen = fps.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0)
     large = _keyed(seen).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * sample > part)
@@ -203,7 +204,11 @@ def fingerprint_links(fps: DataFrame, part: int = PART, sample: int = SAMPLE) ->
         meet = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, own) * F.col("parts") + F.greatest(x, own))
         )
-        keyed = keyed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left")
+        largest = large.orderBy(F.desc("parts"), "key").limit(broadcast_keys)
+        keyed = keyed.join(F.broadcast(largest), "key", "left")
+        if n_large > broadcast_keys:
+            rest = large.join(largest, "key", "left_anti").withColumnRenamed("parts", "further")
+            keyed = keyed.join(rest.hint("merge"), "key", "left").withColumn("parts", F.coalesce("parts", "further")).drop("further")
         keyed = keyed.select("key", F.explode(meet).alias("part"), "fp")
     else:
         keyed = keyed.withColumn("part", F.lit(0))
@@ -236,12 +241,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id.
+    """docs, with all columns, less all but one row of each near-duplicate group.
 
-    A doc_id on several rows keeps one of them. Rows without doc_id can't be named by a group;
-    one row of each distinct text stays.
+    The row of the smallest doc_id stays, rows without id coming last, and ties going by the text's
+    hash; so a row goes only where one linked to it stays, however ids repeat. Of equal ids
+    and texts one row stays, that of the least hash of all columns. Null, empty and wordless texts form a
+    group (see near_duplicates). An empty table stays empty.
     """
-    prints, _ = written(fingerprint_table(docs), "fingerprints")
-    kept = _groups(prints).where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    prints, _ = written(fingerprint_table(docs, keys=True), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("best")
+    firsts = prints.groupBy("fp").agg(best)
+    labels, _ = written(component_labels(fingerprint_links(firsts.select("fp"))), "labels")
+    grouped = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    chosen = grouped.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("best").alias("best")).select(F.col("best.key").alias("_key")).distinct()
+    copies = prints.groupBy(F.col("key").alias("_key")).agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    kept, _ = written(chosen.join(copies, "_key"), "kept")
+    met = attached(docs.withColumn("_key", row_key()), kept, "_key")
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    once = met.where("_repeated").groupBy("_key").agg(least).select("row.*")
+    return met.where("not _repeated").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -16,12 +16,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_fixture(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fetch times and a dated list, which the tables lack, derived from page ids and hosts.
 
-    Every host and parent domain that occurs gets dated changes by digits of its MD5, so the list
-    covers the whole table and grows with the number of distinct hosts, not of pages.
+    Every host, parent domain and host with a first path part that occurs gets dated changes by digits of
+    its MD5, as does one whole path in sixteen, of any depth.
     """
     captures = pages.select("page_id", "url", F.timestamp_add("DAY", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(366)).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("fetched_at"))
     host = url_filter.url_host(F.col("url"))
-    keys = pages.select(F.explode(F.array(host, F.regexp_extract(host, r"\.(.+\..+)$", 1))).alias("key")).where("key <> ''").distinct()
+    parts = F.filter(F.split(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), "/"), lambda x: x != "")
+    whole = F.concat(host, F.lit("/"), F.array_join(parts, "/"))
+    paths = F.filter(F.array(F.concat(host, F.lit("/"), F.get(parts, F.lit(0))), F.when(F.md5(whole).startswith("0"), whole)), lambda x: x.isNotNull() & (host != "") & (F.size(parts) > 0))
+    keys = pages.select(F.explode(F.concat(F.array(host, F.regexp_extract(host, r"\.(.+\..+)$", 1)), paths)).alias("key")).where("key <> ''").distinct()
     drawn = keys.withColumn("d", F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int"))
     first = F.col("d") % 200
     changes = F.array(
@@ -47,8 +50,15 @@ WITH p AS (
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
   FROM pages),
+parts AS (
+  SELECT page_id, url, ft, host, string_split(host, '.') AS labels,
+         list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p),
 keys AS (
-  SELECT DISTINCT key FROM (SELECT host AS key FROM p UNION ALL SELECT regexp_extract(host, '\.(.+\..+)$', 1) FROM p) WHERE key <> ''),
+  SELECT DISTINCT key FROM (
+    SELECT host AS key FROM p UNION ALL SELECT regexp_extract(host, '\.(.+\..+)$', 1) FROM p
+    UNION ALL SELECT host || '/' || segs[1] FROM parts WHERE len(segs) > 0 AND host <> ''
+    UNION ALL SELECT k FROM (SELECT host || '/' || array_to_string(segs, '/') AS k FROM parts WHERE len(segs) > 0 AND host <> '') WHERE md5(k) LIKE '0%')
+  WHERE key <> ''),
 drawn AS (SELECT key, CAST(('0x' || substr(md5(key), 1, 4)) AS INTEGER) AS d FROM keys),
 changes AS (
   SELECT key, 1 AS o, 'block' AS action, d % 200 AS day FROM drawn WHERE d % 3 = 0
@@ -60,14 +70,11 @@ spans AS (
   SELECT key, action, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INTEGER)) AS f,
          TIMESTAMP '2024-01-01' + to_days(CAST(lead(day) OVER (PARTITION BY key ORDER BY day) AS INTEGER)) AS t
   FROM one),
-parts AS (
-  SELECT page_id, url, ft, host, string_split(host, '.') AS labels,
-         list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p),
 cand AS (
   SELECT DISTINCT page_id, url, ft, key FROM (
     SELECT page_id, url, ft, host AS key FROM parts
-    UNION ALL SELECT page_id, url, ft, array_to_string(labels[i:], '.') FROM parts, generate_series(2, 12) g(i) WHERE i <= len(labels) - 1
-    UNION ALL SELECT page_id, url, ft, host || '/' || array_to_string(segs[1:i], '/') FROM parts, generate_series(1, 2) g(i) WHERE i <= len(segs))
+    UNION ALL SELECT page_id, url, ft, array_to_string(labels[i:], '.') FROM parts, unnest(generate_series(2, len(labels) - 1)) g(i)
+    UNION ALL SELECT page_id, url, ft, host || '/' || array_to_string(segs[1:i], '/') FROM parts, unnest(generate_series(1, len(segs))) g(i))
   WHERE key NOT LIKE '/%' AND key <> ''),
 act AS (
   SELECT c.page_id, c.url, c.ft, c.key, s.action, s.f FROM cand c JOIN spans s ON c.key = s.key
