@@ -97,6 +97,7 @@ def test_masking_keeps_rows_and_recounts(make_docs, odd_rows):
     assert got[20, "see password=[SECRET] and [SECRET] ok"].n_chars == 37
     assert len(secret_scan.masked(docs).collect()) == len(odd_rows) + 1
     assert secret_scan.masked(docs).columns == docs.columns
+    assert secret_scan.masked(make_docs([])).count() == secret_scan.secrets(make_docs([])).count() == 0
 
 
 def brute_license(text):
@@ -191,6 +192,48 @@ def test_language_accuracy_on_held_out_documents(spark, make_docs, odd_rows):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 7, 7] and kept.columns == make_docs([]).columns
 
 
+def test_letters_are_those_of_unicode(make_docs):
+    rows = [(1, "½ ² ① Ⅷ ٣", None, None), (2, "½ ª", None, None), (3, "字", None, None), (4, "\u0301 _ 7", None, None), (5, "ǅ", None, None)]
+    model = language.fit([(b"the and of", "en"), ("der und die".encode(), "de")] * 50, epochs=2)
+    assert {r.doc_id for r in language.identify(make_docs(rows), model).collect() if r.lang_pred == "und"} == {1, 4}
+    kept = language.in_known_language(make_docs([(1, "the and of the and", None, None), (2, "zzzz", None, None)]), model, least=1.01)
+    assert kept.count() == 0
+    assert language.in_known_language(make_docs([]), model).count() == 0
+
+
+def test_languages_match_a_network_read_byte_by_byte(make_docs, odd_rows):
+    """The query's answers, from states computed one byte and one unit at a time."""
+    model = language.fit([(b"the and of this with", "en"), ("der und die schön".encode(), "de"), (b"le et la de", "fr")] * 40, epochs=3)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    n = len(w["Uf"])
+
+    def read(window, d):
+        h, out = np.zeros(n), []
+        for byte in window if d == "f" else reversed(window):
+            a, b = w[f"E{d}"][byte], h @ w[f"U{d}"] + w[f"c{d}"]
+            z, r = (1 / (1 + np.exp(-(a[k * n : (k + 1) * n] + b[k * n : (k + 1) * n]))) for k in (0, 1))
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :])
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def brute(text):
+        data = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = np.zeros(3)
+        for at in range(0, len(data), language.WINDOW):
+            window = data[at : at + language.WINDOW]
+            for f, b in zip(read(window, "f"), read(window, "b"), strict=True):
+                e = np.exp(np.r_[f, b] @ w["W"] + w["bias"])
+                total += e / e.sum()
+        return model.languages[total.argmax()], total.max() / len(data)
+
+    rows = [r for r in odd_rows if len(r[1] or "") < 1000] + [(20, "the und la " * 40, None, None), (21, "x", None, None), (22, "schön " * 21 + "ab", None, None)]
+    for r in language.identify(make_docs(rows), model).collect():
+        want = brute(next(t for i, t, *_ in rows if i == r.doc_id))
+        assert (r.lang_pred, r.score) == (want[0], pytest.approx(want[1], abs=1e-4))
+
+
 def test_byte_labels_pool_to_the_document():
     model = language.fit([(b"the and of this with", "en"), ("der und die schön".encode(), "de")] * 40, epochs=3)
     text = "the und with schön " * 30

@@ -32,7 +32,8 @@ BATCH = 128
 SEED = 7
 PAD = 256
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: The most frequent so many languages are learned.
+MOST_LANGUAGES = 512
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -235,7 +236,8 @@ def document_probabilities(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and (bool(_ASCII_LETTER.search(text)) or bool(_LETTER.search(text.decode("utf-8", "replace"))))
+    """Whether any character is of a Unicode letter category (Lu, Ll, Lt, Lm, Lo); numerals such as ½ or Ⅷ are not."""
+    return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
 def predict(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarray]:
@@ -252,12 +254,12 @@ def predict(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndar
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """Fit on rows that aren't held out and have lang and text.
 
-    About per_language documents of each language are chosen by hash (all, where there are
-    fewer), and WINDOWS_PER_DOC windows of TRAIN_CHARS characters at hashed places of each go to
-    the driver; that bound doesn't grow with the table.
+    About per_language documents of each of the MOST_LANGUAGES most frequent languages are chosen by hash
+    (all, where there are fewer), and WINDOWS_PER_DOC windows of TRAIN_CHARS characters at hashed
+    places of each go to the driver; that bound doesn't grow with the table. Reruns choose alike.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([], {})
     wide = 1 << 30
@@ -265,7 +267,8 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, epochs: int =
     chosen = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(wide)) < limits[F.col("lang")]))
     room = F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))
     parts = [F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int"), F.lit(TRAIN_CHARS)) for k in range(WINDOWS_PER_DOC)]
-    found = chosen.select("lang", F.explode(F.array_distinct(F.array(*parts))).alias("part")).where("part <> ''").limit(4 * WINDOWS_PER_DOC * per_language * len(counts))
+    found = chosen.select("lang", F.explode(F.array_distinct(F.array(*parts))).alias("part")).where("part <> ''")
+    found = found.orderBy(F.xxhash64("lang", "part"), "lang", "part").limit(4 * WINDOWS_PER_DOC * per_language * len(counts))
     samples = sorted((r.part.encode("utf-8", "replace"), r.lang) for r in found.collect())
     return fit(samples, epochs)
 
@@ -275,7 +278,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null, empty and letterless texts are `und` with score 0; so is everything where no labelled
     row exists. Where one language is all there is, it is the answer for all texts with a letter.
-    Rows with a null doc_id are not held out. Repeated rows stay; other columns are ignored.
+    Texts of any length are read whole. Rows with a null doc_id are not held out. Repeated rows stay, and
+    equal texts get equal answers (ties go to the first language); other columns are ignored. An
+    empty table gives an empty result.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -289,7 +294,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, model: Model | None = None, least: float = 0.3) -> DataFrame:
-    """docs, all columns, less rows without a language: no letter, or no language of probability `least`."""
+    """docs, all columns, less rows without a language: no letter, or no language of probability `least`.
+
+    Null and empty texts go, as all rows do where no language can be learned; repeated rows stay or go
+    together, and an empty table stays empty. The network knows no language but those it learned, so a
+    text in another one goes only where the learned ones share its bytes about evenly.
+    """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -279,7 +279,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none (the
-    digest of the empty string, and an empty list); repeated rows stay; other columns are ignored.
+    digest of the empty string, and an empty list); repeated rows stay; other columns are ignored. Texts
+    of any length are read whole, in linear time; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -308,7 +309,10 @@ def masked_text(text: str | None, mask: str = "[SECRET]") -> str | None:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs, all columns and rows, with secret values masked in text and n_chars recounted where it changed."""
+    """docs, all columns and rows, with secret values masked in text and n_chars recounted where it changed.
+
+    Null, empty and long texts and repeated rows are treated like others; an empty table stays empty.
+    """
 
     def run(batches):
         for batch in batches:
