@@ -161,6 +161,43 @@ def test_odd_vectors(spark):
     assert vector_search.nearest(frame.where("false"), 50).count() == 0
 
 
+def test_each_length_is_searched_and_an_id_counts_by_its_nearest_row(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(0, 60)] + [(i, [1.0, 0.0, float(i)]) for i in range(100, 104)] + [(1, [5.0, 0.1])] + [(50, [9.0, 9.0])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in vector_search.nearest(frame, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0][0] == 1 and got[100] == [101, 102, 103] and sorted(got) == [0, 50, 100] and all(len(set(v)) == len(v) for v in got.values())
+
+
+def test_a_crowd_of_one_code_is_reranked_whole(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 1e-6 * rng.normal(size=8)).tolist()) for i in range(2000)] + [(i, rng.normal(size=8).tolist()) for i in range(2000, 2300)]
+    got: dict = {}
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    true = brute_nearest(rows, 100, 5)
+    assert np.mean([len(got[q] & set(true[q])) / 5 for q in true if q < 2000]) >= 0.9
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_registered_query_against_brute_force(spark, size):
+    """Recall on the whole registered table, and every score and order as brute force gives them."""
+    from veilframe.llm import queries
+
+    folder = f"/root/testdata/sf{size}"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding is not None and any(r.embedding)]
+    true = brute_nearest(rows, 50, 5)
+    unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in rows}
+    got: dict = {}
+    for r in queries.op4_ivf_pq(spark, folder).orderBy("query_id", "rank").collect():
+        assert r.score == pytest.approx(float(unit[r.query_id] @ unit[r.vec_id]), abs=1e-12)
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got.keys() == true.keys() and all(v == sorted(v) and len(v) == 5 for v in got.values())
+    assert np.mean([len({i for _, i in got[q]} & set(true[q])) / 5 for q in true]) >= 0.9
+
+
 def test_crowd_of_equal_vectors_ties_to_small_ids(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1500)] + [(i, rng.normal(size=4).tolist()) for i in range(1500, 1800)]
