@@ -32,7 +32,7 @@ WINDOW = 10
 TABLE_BYTES = 4 << 20
 #: Entries of the hashed tables beyond that: bytes of shifts for each window length, bits of pairs for all.
 SHIFTS, PAIRS = 1 << 22, 1 << 27
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 _WORDS = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
 
 
