@@ -298,12 +298,16 @@ def _raise_likelihood(texts: list[bytes], toxic: np.ndarray, model: Model, rng:
     words = list(vocabulary)
     seen = np.bincount(at, minlength=len(words))
     counts: Counter = Counter()
-    backed = Counter(u for text, y in zip(texts, toxic, strict=True) if y for u in _doc_units(text))
     for w, n in zip(words, seen.tolist(), strict=True):
         for u in units_of(w):
             counts[u] += n
     kept = {u: i for i, u in enumerate(sorted(u for u, n in counts.items() if n >= UNIT_COUNT or u in model.units))}
     near = np.array([counts[u] >= CONTEXT_COUNT for u in kept])
+    del counts
+    backed: Counter = Counter()
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            backed.update(u for u in _doc_units(text) if u in model.units)
     col = np.fromiter((kept.get(u, -1) for w in words for u in units_of(w)), np.int64)
     row = np.repeat(np.arange(len(words)), np.fromiter((len(units_of(w)) for w in words), np.int64, len(words)))[col >= 0]
     col, n = col[col >= 0], len(kept)
@@ -311,36 +315,47 @@ def _raise_likelihood(texts: list[bytes], toxic: np.ndarray, model: Model, rng:
     for u, i in kept.items():
         # What the first fit has against a word is only that the list lacks it; what few documents back is held loosely.
         theta[i] = max(0.0, model.units.get(u, (0.0,))[0]) * backed[u] / (backed[u] + LOOSE)
+    del backed, vocabulary, chains
     theta[-5], theta[-4:] = model.bias, model.transition.ravel()
     start = theta.copy()  # the penalty draws to the first fit
     penalty = np.repeat([PENALTY, NEIGHBOURS * PENALTY, NEIGHBOURS * PENALTY], n)
     mean, square = np.zeros(len(theta)), np.zeros(len(theta))
     ends = np.cumsum(sizes)
-    joined = np.ones(len(at) - 1)
-    joined[ends[:-1] - 1] = 0
-    inner = np.flatnonzero(joined) + 1
-    owner = np.repeat(bag, sizes)
-    sign = np.where(toxic == 1, 1.0, -1.0)
-    for step in range(1, BAG_STEPS + 1):
-        own, before, after = (np.bincount(row, theta[k * n : (k + 1) * n][col], len(words)) for k in range(3))
-        emissions = theta[-5] + _placed(own, before, after, at, sizes)
+    # Blocks of whole documents, about TOKENS_AT_ONCE tokens each, bound the memory of a step.
+    last = np.flatnonzero(np.r_[bag[1:] != bag[:-1], True])
+    cuts = last[np.unique(np.searchsorted(ends[last], np.arange(TOKENS_AT_ONCE, int(ends[-1]) + TOKENS_AT_ONCE, TOKENS_AT_ONCE)).clip(max=len(last) - 1))] + 1
+    blocks = list(zip(np.r_[0, cuts[:-1]], cuts, strict=True))
+
+    def block_gradient(low: int, high: int) -> np.ndarray:
+        """Of the chains low to high: by unit and place, of the bias, and of the transitions."""
+        first = ends[low] - sizes[low]
+        tokens, own_sizes, own_bag = at[first : ends[high - 1]], sizes[low:high], bag[low:high] - bag[low]
+        labels = toxic[bag[low] : bag[high - 1] + 1]
+        emissions = theta[-5] + _placed(*weights, tokens, own_sizes)
         transition = theta[-4:].reshape(2, 2)
         a, weight = np.exp(transition), np.exp(np.clip(emissions, -30, 30))
-        forward = _forward(weight, sizes, a)
-        p = marginals(emissions, sizes, transition)
-        none = np.exp(np.bincount(bag, none_toxic(emissions, sizes, transition, forward), len(texts)))
-        seen_label = np.where(toxic == 1, (1 - none) * (1 - MISSED) + none * FALSE, (1 - none) * MISSED + none * (1 - FALSE))
-        factor = sign * none * (1 - MISSED - FALSE) / seen_label  # of expected features less those of the clean path
+        forward = _forward(weight, own_sizes, a)
+        p = marginals(emissions, own_sizes, transition)
+        none = np.exp(np.bincount(own_bag, none_toxic(emissions, own_sizes, transition, forward), len(labels)))
+        seen_label = np.where(labels == 1, (1 - none) * (1 - MISSED) + none * FALSE, (1 - none) * MISSED + none * (1 - FALSE))
+        factor = np.where(labels == 1, 1.0, -1.0) * none * (1 - MISSED - FALSE) / seen_label  # of expected features less those of the clean path
+        owner = np.repeat(own_bag, own_sizes)
         pull = factor[owner] * p
-        odds = p / np.maximum(1 - p, 1e-12)
-        back = odds[inner] / np.maximum(forward[inner], 1e-12)
+        joined = np.ones(len(tokens) - 1)
+        joined[np.cumsum(own_sizes)[:-1] - 1] = 0
+        inner = np.flatnonzero(joined) + 1
+        back = p[inner] / np.maximum(1 - p[inner], 1e-12) / np.maximum(forward[inner], 1e-12)
         cells = np.stack([np.full(len(inner), a[0, 0]), a[0, 1] * weight[inner] * back, forward[inner - 1] * a[1, 0], forward[inner - 1] * a[1, 1] * weight[inner] * back])
-        pairs = cells / cells.sum(0)
-        pairs[0] -= 1
-        by_word = np.bincount(at, pull, len(words))
-        by_left = np.bincount(at[:-1], pull[1:] * joined, len(words))
-        by_right = np.bincount(at[1:], pull[:-1] * joined, len(words))
-        gradient = np.concatenate([np.bincount(col, g[row], n) for g in (by_word, by_left, by_right)] + [[pull.sum()], (pairs * factor[owner[inner]]).sum(1)])
+        cells /= cells.sum(0)
+        cells[0] -= 1
+        by_word = np.bincount(tokens, pull, len(words))
+        by_left = np.bincount(tokens[:-1], pull[1:] * joined, len(words))
+        by_right = np.bincount(tokens[1:], pull[:-1] * joined, len(words))
+        return np.concatenate([np.bincount(col, g[row], n) for g in (by_word, by_left, by_right)] + [[pull.sum()], (cells * factor[owner[inner]]).sum(1)])
+
+    for step in range(1, BAG_STEPS + 1):
+        weights = [np.bincount(row, theta[k * n : (k + 1) * n][col], len(words)) for k in range(3)]
+        gradient = sum(block_gradient(low, high) for low, high in blocks)
         gradient[n : 2 * n] *= near
         gradient[2 * n : 3 * n] *= near
         gradient[: 3 * n] -= penalty * (theta - start)[: 3 * n]
@@ -412,8 +427,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     most = 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < limit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    found = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").orderBy("h", "text").limit(most).collect()
-    return fit([(r.text.encode("utf-8", "replace"), r.toxic) for r in found])
+    found = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").orderBy("h", "text").limit(most).toArrow()
+    return fit(list(zip(utf8(found.column("text").combine_chunks()), found.column("toxic").to_pylist(), strict=True)))
 
 
 def score_texts(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
