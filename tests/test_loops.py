@@ -6,6 +6,7 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe import logs, run
 from veilframe.functions import prompts
 from veilframe.functions.rules import HEALTH, MULTI
 from veilframe.operators import evaluate, loops, training_pairs
@@ -20,7 +21,7 @@ def comments(spark, rows):
 
 def test_three_role_exits_and_call_counts(spark):
     rows = comments(spark, [(0, "", "a"), (5, None, "b"), (1, "text one", "c"), (2, "text two", "d"), (3, "text three", "e"), (4, "text four", "f")])
-    got = {r.record_id: r for r in loops.three_role_loop(rows, MULTI, loops.bind_roles(models.ScriptedBackend(catalog.scripted_answer)), max_iterations=4).collect()}
+    got = {r.record_id: r for r in loops.three_role_loop(rows, MULTI, loops.bind_roles(models.ScriptedBackend(catalog.scripted_answer)), max_iterations=4).select("*", "outcome.*").collect()}
     assert {k: r.status for k, r in got.items()} == {0: "skipped", 5: "skipped", 1: "success_original", 2: "model_error", 3: "success", 4: "max_iterations"}
     assert {k: r.calls for k, r in got.items()} == {0: 0, 5: 0, 1: 2, 2: 3, 3: 2 + 3 * 2, 4: 2 + 3 * 4}
     assert got[0].anonymized_response is None and got[1].anonymized_response == "text one" and got[2].anonymized_response == "text two"
@@ -32,16 +33,16 @@ def test_three_role_exits_and_call_counts(spark):
 def test_failed_generations_are_flagged_and_fail_closed(spark):
     rows = comments(spark, [(1, "some text", "a")])
     silent_roles = loops.bind_roles(models.ScriptedBackend(lambda *_: ""))
-    strict, compat = (loops.three_role_loop(rows, MULTI, silent_roles, compat=c).first() for c in (False, True))
+    strict, compat = (loops.three_role_loop(rows, MULTI, silent_roles, compat=c).select("outcome.*").first() for c in (False, True))
     assert (strict.status, compat.status, strict.model_failure, compat.model_failure) == ("model_error", "success_original", True, True)
 
 
 def test_two_role_exits(spark):
     rows = comments(spark, [(1, "write to a.b@example.com now", "a"), (2, "nothing here", "b"), (3, "", "c")])
-    got = {r.record_id: r for r in loops.two_role_loop(rows, catalog.PATTERNS, loops.bind_roles(models.RuleBackend())).collect()}
+    got = {r.record_id: r for r in loops.two_role_loop(rows, catalog.PATTERNS, loops.bind_roles(models.RuleBackend())).select("*", "outcome.*").collect()}
     assert {k: (r.status, r.calls, r.anonymized_response) for k, r in got.items()} == {1: ("success", 3, "write to [EMAIL] now"), 2: ("success_original", 1, "nothing here"), 3: ("skipped", 0, "")}
     stubborn = loops.bind_roles(attacker=models.RuleBackend(), anonymizer=models.ScriptedBackend(lambda *_: "x\n#\nstill a.b@example.com"))
-    out = loops.two_role_loop(rows, catalog.PATTERNS, stubborn, max_iterations=2, order="record_id").collect()
+    out = loops.two_role_loop(rows, catalog.PATTERNS, stubborn, max_iterations=2, order="record_id").select("*", "outcome.*").collect()
     assert [(r.record_id, r.status, r.calls) for r in out] == [(1, "max_iterations", 5), (2, "success_original", 1), (3, "skipped", 0)]
     with pytest.raises(ValueError):
         loops.bind_roles(attacker=models.RuleBackend())
@@ -123,8 +124,94 @@ def test_backends(monkeypatch):
         raise OSError
 
     assert models.HttpBackend("http://none", "m", "k", pause=waits.append, post=broken).generate([request]) == [None] and waits[2:] == [2.0, 4.0, 6.0]
-    local = models.LocalBackend("t", lambda: lambda messages, temperature, n: messages[0]["content"] * n if temperature else 1 / 0, 2)
+    sizes = []
+
+    def load():
+        def texts(conversations, temperature, n):
+            sizes.append(len(conversations))
+            return [m[0]["content"] * n if temperature and m[0]["content"] != "bad" else 1 / 0 for m in conversations]
+
+        return texts
+
+    local = models.LocalBackend("t", load, 2, batch=3)
     assert local.generate([request, request._replace(temperature=0.0)]) == ["xx", ""]
+    sizes.clear()
+    many = [request._replace(messages=[{"role": "user", "content": c}]) for c in ("a", "b", "c", "d", "bad")]
+    assert local.generate(many) == ["aa", "bb", "cc", "dd", ""] and sizes == [3, 2, 1, 1]
+
+
+def test_remote_calls_run_side_by_side(monkeypatch):
+    import threading
+
+    together = threading.Barrier(4, timeout=20)
+
+    def post(url, headers, body, timeout):
+        together.wait()
+        return {"choices": [{"message": {"content": body["messages"][0]["content"]}}]}
+
+    requests = [models.Request(str(i), "judge", 0, [{"role": "user", "content": f"x{i}"}], 0.1) for i in range(8)]
+    assert models.HttpBackend("http://none", "m", "k", workers=4, post=post).generate(requests) == [f"x{i}" for i in range(8)]
+
+
+def test_a_task_that_runs_again_calls_no_finished_answer_again(spark, tmp_path):
+    """Four of five calls are answered before the first run of a task fails; only what is left is asked by the second."""
+
+    class Counting:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def generate(self, requests):
+            import os
+
+            for r in requests:
+                with open(os.path.join(self.folder, f"{r.record_id}-{r.role}-{r.iteration}"), "a") as file:
+                    file.write("x")
+            return [f"Inference: {r.record_id}" for r in requests]
+
+    (tmp_path / "calls").mkdir()
+    backend = models.CachedBackend(Counting(str(tmp_path / "calls")), str(tmp_path / "answers"))
+    requests = [models.Request(str(i), "attacker", 0, [{"role": "user", "content": "é\n"}], 0.1) for i in range(5)]
+    backend.generate(requests[:4])
+    assert backend.generate(requests) == [f"Inference: {i}" for i in range(5)]
+    assert {p.name: p.read_text() for p in (tmp_path / "calls").iterdir()} == {f"{i}-attacker-0": "x" for i in range(5)}
+    assert models.CachedBackend(models.ScriptedBackend(lambda *_: ""), str(tmp_path / "answers")).generate([requests[0]._replace(iteration=1)]) == [""]
+    rows = comments(spark, [(10 + i, f"text {i} long enough to keep", "a") for i in range(3)])
+    for _ in range(2):
+        loops.two_role_loop(rows, MULTI, loops.bind_roles(backend), max_iterations=1).collect()
+    assert {p.read_text() for p in (tmp_path / "calls").iterdir()} == {"x"}
+
+
+def test_columns_of_the_records_pass_through_whatever_their_names(spark):
+    names = ("current", "status", "iterations", "error", "inference", "guess_json", "leaks_json", "history", "calls", "model_failure")
+    rows = spark.createDataFrame([(1, "write to a.b@example.com now", *[f"own {n}" for n in names])], "record_id long, response string, " + ", ".join(f"{n} string" for n in names))
+    for out in (loops.two_role_loop(rows, catalog.PATTERNS, loops.bind_roles(models.RuleBackend())), loops.three_role_loop(rows, MULTI, loops.bind_roles(models.ScriptedBackend(catalog.scripted_answer)))):
+        row = out.first()
+        assert {n: row[n] for n in names} == {n: f"own {n}" for n in names} and row.outcome.status.startswith("success")
+    with pytest.raises(ValueError, match="outcome"):
+        loops.two_role_loop(rows.withColumn("outcome", F.lit(1)), MULTI, loops.bind_roles(models.RuleBackend()))
+    with pytest.raises(ValueError, match="_prompt"):
+        models.answered(rows.withColumn("_prompt", F.lit(1)), models.RuleBackend(), "teacher", 0, 0.1, F.lit(None))
+
+
+def test_run_drivers(spark, tmp_path, caplog):
+    lines = ['{"record_id": 1, "response": "write to a.b@example.com now", "x": {"y": [1, null]}, "a.b": 2}', '{"response": "", "z": "é\\""}', "[1]", "{bad", "", '{"response": "plain words", "response": "nothing to \\"hide\\" here", "n": NaN}']
+    (tmp_path / "in.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    base = f"file://{tmp_path}"
+    logs.setup("nonsense", str(tmp_path / "log.txt"))
+    run.anonymize(spark, f"{base}/in.jsonl", f"{base}/out", catalog.PATTERNS, loops.bind_roles(models.RuleBackend()), "two", quarantine=f"{base}/odd")
+    got = {x.get("record_id"): x for x in (json.loads(r.value) for r in spark.read.text(f"{base}/out").where("value not like '%nothing%'").collect())}
+    assert got[1]["anonymized_response"] == "write to [EMAIL] now" and got[1]["x"] == {"y": [1, None]} and got[1]["a.b"] == 2 and got[1]["meta"]["status"] == "success"
+    assert got[None]["anonymized_response"] == "" and got[None]["z"] == 'é"' and got[None]["meta"]["status"] == "skipped"
+    kept = json.loads(spark.read.text(f"{base}/out").where("value like '%nothing%'").first().value)
+    assert kept["anonymized_response"] == 'nothing to "hide" here' and kept["n"] is None
+    assert json.loads(spark.read.text(f"{base}/odd").first().value)["n_chars"] == 3
+    logged = (tmp_path / "log.txt").read_text()
+    assert "loaded 3 texts" in logged and "success: 1 records" in logged and "example.com" not in logged and logs.LOGGER.level == logging.INFO
+    summary = json.loads(run.assess(spark, f"{base}/out", f"{base}/details", MULTI, models.ScriptedBackend(catalog.scripted_answer), models.ScriptedBackend(catalog.scripted_answer)))
+    assert summary["total_records"] == 3
+    run.teach(spark, f"{base}/in.jsonl", f"{base}/taught", models.RuleBackend())
+    assert sorted(json.loads(r.value)["anonymized_response"] for r in spark.read.text(f"{base}/taught").collect()) == ['nothing to "hide" here', "write to [EMAIL] now"]
+    logs.setup()
 
 
 def test_empty_attribute_list_makes_no_prompt(spark):
@@ -132,7 +219,10 @@ def test_empty_attribute_list_makes_no_prompt(spark):
     assert row.p is None
 
 
-def test_private_text_stays_out_of_logs(spark, caplog):
-    with caplog.at_level(logging.DEBUG, logger="veilframe"):
-        loops.two_role_loop(comments(spark, [(1, "my secret 10.1.2.3 address", "a")]), catalog.PATTERNS, loops.bind_roles(models.RuleBackend())).collect()
-    assert "10.1.2.3" not in caplog.text
+def test_private_text_stays_out_of_logs(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"record_id": 1, "response": "my secret 10.1.2.3 address"}\n', encoding="utf-8")
+    logs.setup("DEBUG", str(tmp_path / "log.txt"))
+    run.anonymize(spark, f"file://{tmp_path}/in.jsonl", f"file://{tmp_path}/out", catalog.PATTERNS, loops.bind_roles(models.RuleBackend()))
+    logs.setup()
+    logged = (tmp_path / "log.txt").read_text()
+    assert "loaded 1 texts of 26 characters" in logged and "10.1.2.3" not in logged and "secret" not in logged

@@ -74,11 +74,6 @@ def first_json_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _dumped(first_json(t)))
 
 
-@F.pandas_udf(StringType())
-def first_json_text_aware(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _dumped(first_json(t, string_aware=True)))
-
-
 NO_GUESS = '{"error": "no JSON object found"}'
 
 

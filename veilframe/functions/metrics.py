@@ -11,41 +11,51 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 ORDERS = 4
 
 
-def _ngrams(tokens: list[str], n: int) -> Counter:
-    return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+def clipped(ref: list[str], hyp: list[str], orders: int) -> list[int]:
+    """Clipped n-gram matches of orders 1 to `orders`; n-grams are numbered, not built."""
+    index: dict[str, int] = {}
+    ids = np.array([index.setdefault(t, len(index)) for t in (*ref, *hyp)], np.int64)
+    a, b = ids[: len(ref)], ids[len(ref) :]
+    first, second, out = a, b, []
+    for n in range(1, orders + 1):
+        if n > 1:  # an n-gram is the (n-1)-gram before its last token, and that token
+            first, second = first[:-1] * len(index) + a[n - 1 :], second[:-1] * len(index) + b[n - 1 :]
+        if not (len(first) and len(second)):
+            return out + [0] * (orders + 1 - n)
+        distinct, both = np.unique(np.concatenate([first, second]), return_inverse=True)
+        first, second = both[: len(first)], both[len(first) :]
+        out.append(int(np.minimum(np.bincount(first, minlength=len(distinct)), np.bincount(second, minlength=len(distinct))).sum()))
+    return out
 
 
 def bleu(reference: str | None, candidate: str | None) -> float:
     ref, hyp = (reference or "").split(), (candidate or "").split()
     if not ref or not hyp:
         return 0.0
-    matches, totals = [], []
-    for n in range(1, ORDERS + 1):
-        own, other = _ngrams(hyp, n), _ngrams(ref, n)
-        matches.append(sum(min(k, other[g]) for g, k in own.items()))
-        totals.append(max(1, len(hyp) - n + 1))
+    matches = clipped(ref, hyp, ORDERS + 1)
+    totals = [max(1, len(hyp) - n + 1) for n in range(1, ORDERS + 2)]
     if not matches[0]:
         return 0.0
     precisions, doubled = [m / t for m, t in zip(matches, totals, strict=True)], 1.0
     if len(hyp) > 1:  # method 4: zeros shrink geometrically, faster for short candidates
-        for i, m in enumerate(matches):
+        for i, m in enumerate(matches[:ORDERS]):
             if not m:
                 doubled *= 2
                 precisions[i] = math.log(len(hyp)) / (5 * doubled) / totals[i]
     smoothed, before = [], precisions[0] + 1  # method 5: average with the neighbours
-    padded = [*precisions, _precision(ref, hyp, ORDERS + 1)]
     for i in range(ORDERS):
-        before = (before + padded[i] + padded[i + 1]) / 3
+        before = (before + precisions[i] + precisions[i + 1]) / 3
         smoothed.append(before)
     if min(smoothed) <= 0:
         return 0.0
@@ -53,15 +63,18 @@ def bleu(reference: str | None, candidate: str | None) -> float:
     return brevity * math.exp(sum(map(math.log, smoothed)) / ORDERS)
 
 
-def _precision(ref: list[str], hyp: list[str], n: int) -> float:
-    own, other = _ngrams(hyp, n), _ngrams(ref, n)
-    return sum(min(k, other[g]) for g, k in own.items()) / max(1, len(hyp) - n + 1)
-
-
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence by bit-parallel rows (Hyyro 2004)."""
+    """Longest common subsequence by bit-parallel rows (Hyyro 2004); equal beginnings and ends are set aside first."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
-        return 0
+        return same + tail
     where: dict[str, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
@@ -70,15 +83,16 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     for y in b:
         match = row & where.get(y, 0)
         row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+    return same + tail + len(a) - row.bit_count()
 
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
-def rouge_l(target: str | None, prediction: str | None) -> float:
-    a = [porter(t) if len(t) > 3 else t for t in _TOKEN.findall((target or "").lower())]
-    b = [porter(t) if len(t) > 3 else t for t in _TOKEN.findall((prediction or "").lower())]
+def rouge_l(target: str | None, prediction: str | None, stemmed: bool = True) -> float:
+    a, b = (_TOKEN.findall((x or "").lower()) for x in (target, prediction))
+    if stemmed:
+        a, b = ([_stem(t) if len(t) > 3 else t for t in x] for x in (a, b))
     common = lcs_length(a, b)
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
@@ -146,6 +160,9 @@ def porter(word: str) -> str:
     return word
 
 
+_stem = lru_cache(maxsize=200_000)(porter)  # texts repeat their words
+
+
 @F.pandas_udf(DoubleType())
 def bleu_score(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series([bleu(a, b) for a, b in zip(reference, candidate, strict=True)], dtype="float64")
@@ -156,14 +173,31 @@ def rouge_l_score(target: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(a, b) for a, b in zip(target, prediction, strict=True)], dtype="float64")
 
 
-def clipped_matches(pairs: DataFrame, n: int) -> DataFrame:
-    """(record_id, reference, candidate) to (record_id, matched, total) n-grams, clipped, by DataFrame operations."""
+@F.pandas_udf(DoubleType())
+def rouge_l_unstemmed(target: pd.Series, prediction: pd.Series) -> pd.Series:
+    return pd.Series([rouge_l(a, b, False) for a, b in zip(target, prediction, strict=True)], dtype="float64")
+
 
-    def grams(column: str) -> DataFrame:
-        split = pairs.select("record_id", F.filter(F.split(F.col(column), r"[ \t\n\r\f]+"), lambda x: x != "").alias("tokens"))
-        tokens = F.col("tokens")  # a column, so that the split isn't repeated for every n-gram
-        made = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
-        return split.select("record_id", F.explode(made).alias("gram")).groupBy("record_id", "gram").agg(F.count(F.lit(1)).alias(column))
+@F.pandas_udf(LongType())
+def common_tokens(target: pd.Series, prediction: pd.Series) -> pd.Series:
+    """Longest common subsequence of white-space tokens."""
+    return pd.Series([lcs_length((a or "").split(), (b or "").split()) for a, b in zip(target, prediction, strict=True)], dtype="int64")
 
-    both = grams("candidate").join(grams("reference"), ["record_id", "gram"], "left")
-    return both.groupBy("record_id").agg(F.sum(F.least("candidate", F.coalesce("reference", F.lit(0)))).alias("matched"), F.sum("candidate").alias("total"))
+
+def clipped_matches(pairs: DataFrame, n: int) -> DataFrame:
+    """(record_id, reference, candidate) to (record_id, matched, total) n-grams, clipped, by DataFrame operations.
+
+    Texts are dealt out by record once; both aggregates then work where the n-grams arise.
+    """
+
+    def grams(column: str, candidate: int) -> Column:
+        tokens = F.col(column)
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]).alias("gram"), F.lit(candidate).alias("c"), F.lit(1 - candidate).alias("r")))
+
+    tokens = lambda column: F.filter(F.split(F.col(column), r"[ \t\n\r\f]+"), lambda x: x != "")
+    dealt = pairs.select("record_id", "candidate", "reference").repartition("record_id")
+    split = dealt.select("record_id", tokens("candidate").alias("candidate"), tokens("reference").alias("reference"))
+    long = split.select("record_id", F.explode(F.concat(grams("candidate", 1), grams("reference", 0))).alias("g"))
+    counts = long.groupBy("record_id", F.col("g.gram").alias("gram")).agg(F.sum("g.c").alias("c"), F.sum("g.r").alias("r"))
+    return counts.groupBy("record_id").agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("total")).where("total > 0")

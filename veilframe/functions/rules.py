@@ -17,6 +17,7 @@ EXACT = ("sex", "relationship_status", "income_level")
 FUZZY = ("current_city_country", "birth_city_country", "education", "occupation")
 LEVELS = ("high", "medium", "low", "invalid")
 AGE_TOLERANCE = 3
+#: Other names under which a guess may state an attribute.
 ALIASES = {"city_country": "current_city_country"}
 
 
@@ -77,6 +78,8 @@ def multi_leaks(truth: Column, guess: Column) -> Column:
         hits.append((key, (t != "") & (g != "") & (g != "unknown") & (t == g)))
     for key in FUZZY:
         t, g = as_text(truth, key), as_text(guess, key)
+        for alias in (a for a, name in ALIASES.items() if name == key):
+            g = F.when(node(guess, key).isNull(), as_text(guess, alias)).otherwise(g)
         hits.append((key, (t != "") & (g != "") & (g != "unknown") & (F.length(g) > 2) & _within(g, t)))
     t, g = as_int(truth, "age"), as_int(guess, "age")
     hits.append(("age", F.coalesce((t > 0) & (g > 0) & (F.abs(t - g) <= AGE_TOLERANCE), F.lit(False))))
@@ -114,6 +117,13 @@ def risk_counts(profile: TaskProfile, truth: Column, found: Column) -> tuple[Col
     return F.size(found), keys
 
 
+def compared_count(profile: TaskProfile, truth: Column) -> Column:
+    """Attributes of a profile that a rule compares, as an alternative denominator: keys that no rule knows don't count."""
+    if profile.health:
+        return F.lit(1)
+    return F.size(F.array_compact(F.array(*[F.when(node(truth, key).isNotNull(), F.lit(key)) for key in (*EXACT, *FUZZY, "age")])))
+
+
 def _items(v: Column) -> Column:
     """A list as it is, an object as a list of one, anything else as no list."""
     return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v)).otherwise(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")))

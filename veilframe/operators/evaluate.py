@@ -58,6 +58,12 @@ def summarized(details: DataFrame, total_records: DataFrame) -> DataFrame:
     return scores.crossJoin(total_records.agg(F.count(F.lit(1)).alias("total_records")))  # one row each
 
 
+def compared_success_rate(details: DataFrame) -> DataFrame:
+    """One row (attack_success_rate): all leaks over the attributes that rules compare."""
+    kept = details.where("dropped_reason is null")
+    return kept.agg(F.coalesce(F.try_divide(F.sum("leaked_count"), F.sum("compared_attributes")), F.lit(0.0)).alias("attack_success_rate"))
+
+
 def scored(responses: DataFrame, profile: TaskProfile, compat: bool = False) -> DataFrame:
     """Details from records with their judge and adversary answers.
 
@@ -73,7 +79,7 @@ def scored(responses: DataFrame, profile: TaskProfile, compat: bool = False) ->
     leaked, total = rules.risk_counts(profile, truth, F.col("leaked_attributes"))
     reason = F.when(F.col("adversary_response").isNull(), "adversary_api_error").when(F.col("utility.error") == "dropped", "judge_shape").when(F.is_variant_null(truth), "null_profile")
     return rows.select(
-        F.coalesce(F.col("record_id"), F.lit(-1)).alias("record_id"), "utility", leaked.alias("leaked_count"), F.coalesce(total, F.lit(0)).alias("total_attributes"), "leaked_attributes",
+        F.coalesce(F.col("record_id"), F.lit(-1)).alias("record_id"), "utility", leaked.alias("leaked_count"), F.coalesce(total, F.lit(0)).alias("total_attributes"), rules.compared_count(profile, truth).alias("compared_attributes"), "leaked_attributes",
         F.col("attack.guess_json").alias("attacker_guess"), metrics.rouge_l_score("response", "anonymized_response").alias("rouge_l_f1"),
         metrics.bleu_score("response", "anonymized_response").alias("bleu"), reason.alias("dropped_reason"),
     )

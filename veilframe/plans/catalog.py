@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilframe.functions import jsonx, metrics, prompts, rules, text
@@ -17,8 +18,8 @@ from veilframe.functions.rules import HEALTH, MULTI, TaskProfile
 from veilframe.operators import evaluate, loops, training_pairs
 from veilframe.session import table
 from veilframe.sources import jsonl
-from veilframe.sources.models import PII, ModelBackend, Request, RuleBackend, ScriptedBackend
-from veilframe.sources.shared import new_path
+from veilframe.sources.models import PII, ModelBackend, Request, RuleBackend, ScriptedAnswers, ScriptedBackend
+from veilframe.sources.shared import passing_path
 
 PATTERNS = TaskProfile("patterns", tuple(name for name, _, _ in PII), ("high",))
 SPACE = r"[ \t\n\r\f]+"
@@ -51,11 +52,12 @@ def _profile_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, truth, guess): each order's customer against another customer."""
     places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     people = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    n = table(spark, d, "customer").count()
+    n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
     age = 20 + F.col("c_custkey") % 50
     truth = people.select(F.col("c_custkey").alias("t_key"), _json(sex=F.col("c_mktsegment"), current_city_country=F.concat_ws(", ", "n_name", "r_name"), age=age, hobby=F.lit("x")).alias("truth"))
     guess = people.select(F.col("c_custkey").alias("g_key"), _json(sex=F.lower("c_mktsegment"), current_city_country=F.col("n_name"), age=F.concat(F.lit(" "), age.cast("string"))).alias("guess"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("t_key"), ((F.col("o_orderkey") * 7) % n).alias("g_key"))
+    numbered = table(spark, d, "orders").crossJoin(F.broadcast(n))  # one row
+    orders = numbered.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("t_key"), ((F.col("o_orderkey") * 7) % F.col("n")).alias("g_key"))
     joined = orders.join(truth, "t_key").join(guess, "g_key")
     return joined.select("record_id", F.parse_json("truth").alias("truth"), F.parse_json("guess").alias("guess"))
 
@@ -120,6 +122,27 @@ SELECT p_partkey, (hit AND k <> 1)::BIGINT AS compat, hit::BIGINT AS flattened F
 # --- Model output ------------------------------------------------------------------------------
 
 
+def q36_all_attributes(spark, d):
+    """Every attribute, with nulls, lists, an alias and `unknown` among the guesses."""
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, none = F.col("c_custkey") % 7, F.lit(None).cast("string")
+    truth = _json(
+        sex=F.col("c_mktsegment"), relationship_status=F.when(k % 2 == 0, "single").otherwise("married"), income_level=F.when(k != 0, "low"), current_city_country=F.concat_ws(", ", "n_name", "r_name"),
+        birth_city_country=F.col("n_name"), education=F.lit("BSc in chemistry"), occupation=F.col("c_name"), age=20 + k,
+    )
+    guess = _json(
+        sex=F.lower("c_mktsegment"), relationship_status=F.lit("Single"), income_level=F.when(k > 1, "LOW").otherwise(none), city_country=F.col("n_name"), birth_city_country=F.array("n_name"),
+        education=F.when(k == 2, "BS").otherwise("chemistry"), occupation=F.when(k == 3, "Unknown").otherwise(F.upper("c_name")), age=F.when(k == 4, "24.0").otherwise(F.concat(F.lit(" "), (23 + k - (k % 3)).cast("string"))),
+    )
+    return people.select("c_custkey", F.array_join(rules.leaks(MULTI, F.parse_json(truth), F.parse_json(guess)), ",").alias("leaks"))
+
+
+Q36 = """SELECT c_custkey, concat_ws(',', CASE WHEN c_mktsegment <> '' THEN 'sex' END, CASE WHEN k % 2 = 0 THEN 'relationship_status' END, CASE WHEN k <> 1 THEN 'income_level' END,
+CASE WHEN length(n_name) > 2 THEN 'current_city_country' END, CASE WHEN length(n_name) > 0 THEN 'birth_city_country' END, CASE WHEN k <> 2 THEN 'education' END, CASE WHEN k <> 3 THEN 'occupation' END,
+CASE WHEN k <> 4 AND abs(20 + k - (23 + k - k % 3)) <= 3 THEN 'age' END) AS leaks FROM (SELECT *, c_custkey % 7 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
 def q05_attack_parse(spark, d):
     response = F.concat(F.lit(" Note.\nINFERENCE: user "), F.col("user_id"), F.lit(" did\n"), F.col("event_type"), F.lit(" \nGuess: so "), F.col("props"), F.lit(" end"))
     got = table(spark, d, "events").select("event_id", jsonx.attack(response).alias("a"))
@@ -376,7 +399,7 @@ Q21 = """SELECT doc_id, doc_id % 10 IN (0, 1) OR coalesce(length(text), 0) = 0 A
 
 
 def q22_jsonl_round_trip(spark, d):
-    path = new_path(spark, "lines")
+    path = passing_path(spark, "lines")
     jsonl.save(table(spark, d, "documents").withColumn("none", F.lit(None).cast("string")), path)
     get = lambda key, kind: F.variant_get("raw", f"$.{key}", kind)
     return jsonl.scan(spark, path).select(get("doc_id", "long").alias("doc_id"), F.md5(get("text", "string")).alias("text_md5"), get("n_chars", "long").alias("n_chars"), F.is_variant_null(get("none", "variant")).alias("null_kept"))
@@ -385,12 +408,49 @@ def q22_jsonl_round_trip(spark, d):
 Q22 = "SELECT doc_id, md5(text) AS text_md5, n_chars, true AS null_kept FROM documents"
 
 
+def _odd_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A line a document: objects, blank and malformed lines, lists, scalars and null."""
+    k, id_ = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    whole = F.to_json(F.struct("doc_id", "text"))
+    made = (
+        F.when(k == 0, whole).when(k == 1, "  \t ").when(k == 2, F.concat(F.lit("{bad "), id_)).when(k == 3, F.concat(F.lit("["), id_, F.lit(",2]")))
+        .when(k == 4, id_).when(k == 5, F.concat(F.lit('"x'), id_, F.lit('"'))).when(k == 6, F.concat(F.lit(" \t"), whole, F.lit("  "))).otherwise(F.lit("null"))
+    )
+    return table(spark, d, "documents").select(made.alias("value"))
+
+
+def q34_odd_lines(spark, d):
+    path = passing_path(spark, "odd-lines")
+    _odd_lines(spark, d).write.text(path)
+    object_ = F.try_variant_get("raw", "$", "map<string,variant>").isNotNull()
+    shape = F.when(F.is_variant_null("raw"), "null").when(object_, "object").when(F.try_variant_get("raw", "$", "array<variant>").isNotNull(), "list").otherwise("scalar")
+    return jsonl.scan(spark, path).groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(object_, F.try_variant_get("raw", "$.doc_id", "long"))).alias("id_sum"))
+
+
+Q34 = """SELECT CASE WHEN doc_id % 8 IN (0, 6) THEN 'object' WHEN doc_id % 8 = 3 THEN 'list' WHEN doc_id % 8 = 7 THEN 'null' ELSE 'scalar' END AS shape, count(*) AS n,
+CAST(sum(CASE WHEN doc_id % 8 IN (0, 6) THEN doc_id END) AS BIGINT) AS id_sum FROM documents WHERE doc_id % 8 NOT IN (1, 2) GROUP BY 1"""
+
+
 def q23_limit(spark, d):
-    """A scan's limit is the feature here; an order makes it reproducible."""
-    return table(spark, d, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(100)
+    """A scan's limit, the feature here, counts accepted records; which ones they are is free, so their number and kind are told."""
+    path = passing_path(spark, "odd-lines")
+    _odd_lines(spark, d).write.text(path)
+    rows = jsonl.scan(spark, path, 100)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw").isNull()).alias("n_empty"))
 
 
-Q23 = "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100"
+Q23 = "SELECT least(100, count(*)) AS n, 0::BIGINT AS n_empty FROM documents WHERE doc_id % 8 NOT IN (1, 2)"
+
+
+def q35_strict_scan(spark, d):
+    """The first lines of one ordered file, which the strict scan's limit counts."""
+    path = passing_path(spark, "strict-lines")
+    jsonl.as_lines(table(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5"))).repartition(1).sortWithinPartitions(F.get_json_object("value", "$.doc_id").cast("long")).write.text(path)
+    rows = jsonl.scan_strict(spark, path, 150)
+    return rows.select(F.variant_get("raw", "$.doc_id", "long").alias("doc_id"), F.variant_get("raw", "$.text_md5", "string").alias("text_md5"))
+
+
+Q35 = "SELECT doc_id, md5(text) AS text_md5 FROM documents ORDER BY doc_id LIMIT 150"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -411,20 +471,44 @@ def q25_bleu(spark, d):
     return _pairs(spark, d).select("record_id", F.round(metrics.bleu_score("reference", "candidate"), 9).alias("bleu"))
 
 
-def q26_common_tokens(spark, d):
-    """Longest common subsequence of white-space tokens, over whole texts."""
+_TOKENS = "list_filter(regexp_split_to_array({}, '" + SPACE + "'), lambda x: x <> '')"
+Q25 = f"""WITH p AS (SELECT doc_id, {_TOKENS.format("text")} AS r, {_TOKENS.format(_redacted_sql("text"))} AS c FROM documents),
+g AS (SELECT doc_id, n, 0 AS side, unnest(list_transform(generate_series(1, len(r) - n + 1), lambda i: array_to_string(r[i : i + n - 1], ' '))) AS gram FROM p, generate_series(1, 5) o(n) WHERE len(r) >= n
+  UNION ALL SELECT doc_id, n, 1, unnest(list_transform(generate_series(1, len(c) - n + 1), lambda i: array_to_string(c[i : i + n - 1], ' '))) FROM p, generate_series(1, 5) o(n) WHERE len(c) >= n),
+k AS (SELECT doc_id, n, gram, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS shared FROM g GROUP BY ALL),
+m AS (SELECT p.doc_id, len(r) AS lr, len(c) AS lc, list_transform([1, 2, 3, 4, 5], lambda n: coalesce(map_extract(x.mm, n)[1], 0)) AS m
+  FROM p LEFT JOIN (SELECT doc_id, map_from_entries(list((n, t))) AS mm FROM (SELECT doc_id, n, sum(shared) AS t FROM k GROUP BY ALL) GROUP BY doc_id) x USING (doc_id)),
+z AS (SELECT *, list_transform([1, 2, 3, 4], lambda n: len(list_filter(m[1:n], lambda x: x = 0))) AS zeros FROM m),
+q AS (SELECT *, list_transform([1, 2, 3, 4, 5], lambda n: CASE WHEN n < 5 AND m[n] = 0 AND lc > 1 THEN ln(lc) / (5 * pow(2, zeros[n])) ELSE m[n]::DOUBLE END / greatest(1, lc - n + 1)) AS p FROM z),
+s1 AS (SELECT *, (p[1] + 1 + p[1] + p[2]) / 3 AS a FROM q), s2 AS (SELECT *, (a + p[2] + p[3]) / 3 AS b FROM s1), s3 AS (SELECT *, (b + p[3] + p[4]) / 3 AS e FROM s2), s4 AS (SELECT *, (e + p[4] + p[5]) / 3 AS f FROM s3)
+SELECT doc_id AS record_id, round(CASE WHEN lr = 0 OR lc = 0 OR lr IS NULL OR lc IS NULL OR m[1] = 0 THEN 0 ELSE CASE WHEN lc > lr THEN 1 ELSE exp(1 - lr / lc) END * exp((ln(a) + ln(b) + ln(e) + ln(f)) / 4) END, 9) AS bleu FROM s4"""
 
-    @F.pandas_udf("long")
-    def common(a, b):
-        return a.combine(b, lambda x, y: metrics.lcs_length((x or "").split(), (y or "").split())).astype("int64")
 
-    return _pairs(spark, d).select("record_id", common("reference", "candidate").alias("lcs"))
+def q26_common_tokens(spark, d):
+    """Longest common subsequence of white-space tokens, over whole texts."""
+    return _pairs(spark, d).select("record_id", metrics.common_tokens("reference", "candidate").alias("lcs"))
 
 
 def q27_rouge_l(spark, d):
     return _pairs(spark, d).select("record_id", F.round(metrics.rouge_l_score("reference", "candidate"), 9).alias("rouge_l"))
 
 
+def q37_turn_rouge(spark, d):
+    """ROUGE-L, unstemmed, of each turn against the one before; short texts, so SQL can hold the table of the subsequence."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before is not null and text is not null")
+    return rows.select("conv_id", "turn", F.round(metrics.rouge_l_unstemmed("before", "text"), 9).alias("rouge_l"))
+
+
+Q37 = """WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+w AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(before), '[a-z0-9]+'), lambda x: [(hash(x) % 4611686018427387904)::BIGINT]) AS a, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: (hash(x) % 4611686018427387904)::BIGINT) AS b FROM t WHERE before IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT conv_id, turn, len(a) AS la, len(b) AS lb, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE
+  list_last(list_reduce(a, lambda prev, e: list_reduce(list_transform(generate_series(1, len(b)), lambda j: [j::BIGINT]),
+    lambda acc, j: list_append(acc, CASE WHEN b[j[1]] = e[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], acc[len(acc)]) END), [0::BIGINT]),
+    list_transform(generate_series(0, len(b)), lambda j: 0::BIGINT))) END AS lcs FROM w)
+SELECT conv_id, turn, round(CASE WHEN lcs = 0 THEN 0 ELSE 2 * lcs::DOUBLE / (la + lb) END, 9) AS rouge_l FROM l"""
+
+
 # --- Loops -------------------------------------------------------------------------------------
 
 
@@ -434,7 +518,7 @@ def _comments(spark: SparkSession, d: str) -> DataFrame:
 
 def q28_two_role_loop(spark, d):
     out = loops.two_role_loop(_comments(spark, d), PATTERNS, loops.bind_roles(RuleBackend()))
-    return out.select("record_id", "lang", "status", F.col("iterations").cast("long").alias("iterations"), F.col("calls").cast("long").alias("calls"), F.md5("anonymized_response").alias("text_md5"))
+    return out.select("record_id", "lang", "outcome.status", F.col("outcome.iterations").cast("long").alias("iterations"), F.col("outcome.calls").cast("long").alias("calls"), F.md5("anonymized_response").alias("text_md5"))
 
 
 Q28 = f"""WITH r AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_redacted_sql("coalesce(text, '')")} AS red FROM documents)
@@ -459,8 +543,8 @@ def _three_role(spark: SparkSession, d: str) -> DataFrame:
 
 def q29_three_role_loop(spark, d):
     return _three_role(spark, d).select(
-        "record_id", "status", F.col("iterations").cast("long").alias("iterations"), F.col("calls").cast("long").alias("calls"), F.size("history").cast("long").alias("n_history"),
-        F.array_join("final_leaked_attributes", ",").alias("left_over"), F.md5("anonymized_response").alias("text_md5"), F.regexp_extract("error", "^[a-z_]+", 0).alias("error"),
+        "record_id", "outcome.status", F.col("outcome.iterations").cast("long").alias("iterations"), F.col("outcome.calls").cast("long").alias("calls"), F.size("outcome.history").cast("long").alias("n_history"),
+        F.array_join("outcome.final_leaked_attributes", ",").alias("left_over"), F.md5("anonymized_response").alias("text_md5"), F.regexp_extract("outcome.error", "^[a-z_]+", 0).alias("error"),
     )
 
 
@@ -505,13 +589,28 @@ def q32_role_binding(spark, d):
     one = loops.two_role_loop(_comments(spark, d), PATTERNS, loops.bind_roles(RuleBackend()))
     two = loops.two_role_loop(_comments(spark, d), PATTERNS, loops.bind_roles(attacker=RuleBackend(), anonymizer=ScriptedBackend(constant_answer)))
     both = one.withColumn("binding", F.lit("shared")).unionByName(two.withColumn("binding", F.lit("separate")))
-    return both.where("status = 'success'").groupBy("binding").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anonymized_response").alias("n_texts"))
+    return both.where("outcome.status = 'success'").groupBy("binding").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anonymized_response").alias("n_texts"))
 
 
 Q32 = f"""WITH r AS (SELECT text, {_redacted_sql("text")} AS red FROM documents WHERE length(text) > 0), s AS (SELECT {_strip_sql("red")} AS t FROM r WHERE red <> text)
 SELECT 'shared' AS binding, count(*) AS n, count(DISTINCT t) AS n_texts FROM s HAVING count(*) > 0 UNION ALL SELECT 'separate', count(*), count(DISTINCT 1) FROM s HAVING count(*) > 0"""
 
 
+def q38_scripted_table(spark, d):
+    """The two-role loop with answers from a table, met by a join: even records are guessed until their edit, odd ones not at all."""
+    rows = _comments(spark, d).where("length(response) > 0")
+    k, given = F.col("record_id") % 2, F.col("record_id")
+    answer = lambda role, i, text: rows.select(given, F.lit(role).alias("role"), F.lit(i).alias("iteration"), text.alias("answer"))
+    known, unknown = F.lit('Inference: a\nGuess: {"age": 30}'), F.lit('Inference: a\nGuess: {"age": "unknown"}')
+    answers = answer("attacker", 0, F.when(k == 0, known).otherwise(unknown)).unionByName(answer("anonymizer", 1, F.concat(F.lit("why\n#\nedit of "), given.cast("string")))).unionByName(answer("attacker", 1, unknown))
+    out = loops.two_role_loop(rows, MULTI, loops.bind_roles(ScriptedAnswers(answers)))
+    return out.select("record_id", "outcome.status", F.col("outcome.calls").cast("long").alias("calls"), F.md5("anonymized_response").alias("text_md5"))
+
+
+Q38 = """SELECT doc_id AS record_id, CASE doc_id % 2 WHEN 0 THEN 'success' ELSE 'success_original' END AS status, CASE doc_id % 2 WHEN 0 THEN 3 ELSE 1 END::BIGINT AS calls,
+md5(CASE doc_id % 2 WHEN 0 THEN 'edit of ' || doc_id ELSE text END) AS text_md5 FROM documents WHERE length(text) > 0"""
+
+
 def q33_label_list(spark, d):
     found = rules.labelled(rules.actionable(F.col("v"), MULTI.actionable))
     return _findings(spark, d).select("doc_id", F.array_join(found, ",").alias("labels"))
@@ -524,8 +623,9 @@ _ALL: list[tuple[Callable, str | None]] = [
     (q01_profile_leaks, Q01), (q02_attack_success_rate, Q02), (q03_rate_by_attribute, Q03), (q04_health_leaks, Q04), (q05_attack_parse, Q05), (q06_first_json, Q06), (q07_actionable, Q07),
     (q08_validity_histogram, Q08), (q09_feedback, Q09), (q10_has_leaks, Q10), (q11_safe, Q11), (q12_sanity, Q12), (q13_after_hash, Q13), (q14_truncated, Q14), (q15_context_tag, Q15),
     (q16_chat_render, Q16), (q16b_prompts, Q16B), (q17_combined_utility, Q17), (q18_average_utility, Q18), (q19_evaluation_summary, Q19), (q20_training_texts, Q20), (q21_skipped, Q21),
-    (q22_jsonl_round_trip, Q22), (q23_limit, Q23), (q24_clipped_bigrams, Q24), (q25_bleu, None), (q26_common_tokens, None), (q27_rouge_l, None), (q28_two_role_loop, Q28),
+    (q22_jsonl_round_trip, Q22), (q23_limit, Q23), (q24_clipped_bigrams, Q24), (q25_bleu, Q25), (q26_common_tokens, None), (q27_rouge_l, None), (q28_two_role_loop, Q28),
     (q29_three_role_loop, Q29), (q30_last_history, Q30), (q31_teacher_rows, Q31), (q32_role_binding, Q32), (q33_label_list, Q33),
+    (q34_odd_lines, Q34), (q35_strict_scan, Q35), (q36_all_attributes, Q36), (q37_turn_rouge, Q37), (q38_scripted_table, Q38),
 ]
 
 

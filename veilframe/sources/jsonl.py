@@ -4,28 +4,55 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilframe.functions.text import strip
-from veilframe.sources.shared import written
 
 STRICT_SCHEMA = "line_no long, value string"
 
 
-def scan_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+@F.pandas_udf(StringType())
+def _lenient(lines: pd.Series) -> pd.Series:
+    """Lines that only a lenient reader takes, as strict JSON: of repeated keys the last, NaN and infinities as null."""
+
+    def one(line: str | None) -> str | None:
+        if line is None:
+            return None
+        try:
+            return json.dumps(json.loads(line, parse_constant=lambda _: None), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return lines.map(one)
+
+
+def scan_lines(lines: DataFrame, limit: int | None = None, lenient: bool = False) -> DataFrame:
     """Text lines (column value) to accepted records (column raw, a VARIANT).
 
-    Blank and malformed lines are skipped; lines that hold a list or a scalar are kept. A limit of
-    None or 0 means all, and otherwise counts accepted records.
+    Blank and malformed lines are skipped; lines that hold a list or a scalar are kept. lenient also takes
+    objects with repeated keys, and NaN and infinities. A limit of None or 0 means all, and otherwise
+    counts accepted records.
     """
-    accepted = lines.select(strip(F.col("value")).alias("line")).where("line <> ''").select(F.try_parse_json("line").alias("raw")).where("raw is not null")
+    parsed = lines.select(strip(F.col("value")).alias("line")).where("line <> ''").withColumn("raw", F.try_parse_json("line"))
+    if lenient:
+        parsed = parsed.withColumn("raw", F.coalesce("raw", F.try_parse_json(_lenient(F.when(F.col("raw").isNull(), F.col("line"))))))
+    accepted = parsed.where("raw is not null").select("raw")
     return accepted.limit(limit) if limit else accepted
 
 
-def scan(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, limit: int | None = None, lenient: bool = False) -> DataFrame:
     """Records of JSON-lines files; a missing path raises."""
-    return scan_lines(spark.read.text(path), limit)
+    return scan_lines(spark.read.text(path), limit, lenient)
+
+
+def objects(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that are objects, and the others by kind, length and digest only, for a quarantine table."""
+    whole = F.try_variant_get("raw", "$", "map<string,variant>")
+    others = records.where(whole.isNull()).select(F.schema_of_variant("raw").alias("kind"), F.length(F.to_json("raw")).alias("n_chars"), F.sha2(F.to_json("raw"), 256).alias("line_sha256"))
+    return records.where(whole.isNotNull()), others
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
@@ -56,11 +83,6 @@ def save(df: DataFrame, path: str) -> None:
     as_lines(df).write.mode("overwrite").text(path)
 
 
-def save_rounds(df: DataFrame, name: str) -> DataFrame:
-    """A checkpointed result: written once as Parquet and read from there."""
-    return written(df, name)[0]
-
-
 def summary_document(summary: DataFrame, details: DataFrame | None = None, most_details: int = 10_000) -> str:
     """One pretty-printed JSON document on the driver: the summary row, and details if few enough.
 
