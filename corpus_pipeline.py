@@ -3,6 +3,11 @@
 Each stage reads what its predecessor wrote and returns the columns of documents, except the last,
 which returns the mixture's row per document. STAGES can be run one by one (each result written and
 read again by the caller), or all by run().
+
+Odd input, in every stage: rows with null or empty text go at the first stage, as they have no letter, and
+pass the others; null ids and null sources are values like others; equal rows are near copies of
+each other, so one stays; ties go by the operators' rules; texts of any length are read whole; further
+columns pass through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
