@@ -58,6 +58,7 @@ class Model:
     document: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0, 0.0]))
     cache: dict[bytes, int] = field(default_factory=dict)
     rows: list[tuple[float, float, float]] = field(default_factory=list)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))  # rows as an array, as far as it was needed
 
     def row(self, word: bytes) -> int:
         """Place in rows of the word's weights."""
@@ -71,16 +72,19 @@ class Model:
     def emissions(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of the toxic label of every token, from it and its neighbours, laid end to end; and the sizes."""
         if len(self.rows) > CACHED:
-            self.cache.clear()
-            self.rows.clear()
+            self.forget()
         sizes = np.array([len(t) for t in tokens], np.int64)
         row = self.row
         at = np.fromiter((row(w) for t in tokens for w in t), np.int64, int(sizes.sum()))
-        weights = np.array(self.rows or [(0.0, 0.0, 0.0)])
-        return self.bias + _placed(weights[:, 0], weights[:, 1], weights[:, 2], at, sizes), sizes
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
+        return self.bias + _placed(*self.table.T, at, sizes), sizes
+
+    def forget(self) -> None:
+        self.cache, self.rows, self.table = {}, [], np.zeros((0, 3))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "rows": []}
+        return self.__dict__ | {"cache": {}, "rows": [], "table": np.zeros((0, 3))}
 
 
 #: Words whose weights a worker keeps.
@@ -399,8 +403,7 @@ def fit(samples: list[tuple[bytes, int]], seed: int = 3) -> Model:
     _fit_field(sequences, marking, model)
     _raise_likelihood(texts, toxic, model, rng)
     parts = [_features(*_tokens_marginals([words_of(t) for t in texts[i : i + 500]], model)) for i in range(0, len(texts), 500)]
-    model.cache.clear()
-    model.rows.clear()
+    model.forget()
     x, w = np.concatenate(parts), np.zeros(4)
     for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
         q = _sigmoid(x @ w)
