@@ -153,6 +153,23 @@ def test_recall_against_brute_force(spark, clustered):
     assert np.mean([len({x[0] for x in got[q].values()} & set(true[q])) / 5 for q in true]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["queries apart from the rest", "a prime length"])
+def test_recall_on_other_rows(spark, kind):
+    """Few cells suffice for the many near copies, not for the queries; and codes of one part rank hardly."""
+    rng = np.random.default_rng(4)
+    if kind == "a prime length":
+        x = rng.normal(size=(8000, 61))
+    else:
+        x = (rng.normal(size=(20, 32)) * 3)[rng.integers(20, size=8000)] + 0.1 * rng.normal(size=(8000, 32))
+        x[::50] = rng.normal(size=(160, 32)) * 3
+    rows = list(enumerate(x.tolist()))
+    got: dict = {}
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    true = brute_nearest(rows, 50, 5)
+    assert np.mean([len(got[q] & set(true[q])) / 5 for q in true]) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (1, [2.0, 0.0]), (9, [1.0, 2.0, 3.0])]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, cell string")
