@@ -141,3 +141,12 @@ def test_lcs_by_dynamic_programming():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert metrics.lcs_length(a, b) == table[-1][-1]
+
+
+def test_clipped_matches_shuffles_no_text_but_that_of_repeated_ids(spark):
+    rows = [(1, "a b a b", "a b a b a b"), (2, "x", "y"), (3, None, "p q"), (4, "p q", None), (None, "a b", "a b"), (5, "a b c", "a b"), (5, "b c", "b c c"), (6, " a b", " a\tb ")]
+    frame = spark.createDataFrame(rows, "record_id long, reference string, candidate string")
+    got = sorted(map(tuple, metrics.clipped_matches(frame, 2).collect()), key=str)
+    assert got == sorted([(1, 3, 5), (3, 0, 1), (None, 1, 1), (5, 2, 3), (6, 0, 1)], key=str)
+    plan = metrics.clipped_matches(frame.where("record_id < 5"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -4,20 +4,24 @@ BLEU: sentence level over white-space tokens, orders 1 to 4, uniform weights, br
 (Papineni et al. 2002); smoothing 7 is method 4 followed by method 5 (Chen and Cherry 2014).
 ROUGE-L: F-measure of the longest common subsequence (Lin 2004) over lower-cased alphanumeric ASCII
 tokens; tokens of more than three letters are stemmed (Porter 1980). Clipped n-gram counts are also
-given relationally (clipped_matches).
+given per record (clipped_matches).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from veilframe.sources.shared import small_batches, written
 
 ORDERS = 4
 
@@ -184,11 +188,51 @@ def common_tokens(target: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([lcs_length((a or "").split(), (b or "").split()) for a, b in zip(target, prediction, strict=True)], dtype="int64")
 
 
+_SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Repeated ids that are few enough to broadcast.
+FEW_IDS = 100_000
+
+
 def clipped_matches(pairs: DataFrame, n: int) -> DataFrame:
-    """(record_id, reference, candidate) to (record_id, matched, total) n-grams, clipped, by DataFrame operations.
+    """(record_id, reference, candidate) to (record_id, matched, total) n-grams, clipped.
 
-    Texts are dealt out by record once; both aggregates then work where the n-grams arise.
+    A record on one row, as records mostly are, is counted where its row lies, and no text is shuffled. The
+    rows of an id that is on several count together; only those are dealt out by record.
     """
+    pairs = pairs.select("record_id", "candidate", "reference")
+    repeated, _ = written(pairs.groupBy("record_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("record_id").alias("_again")), "repeated-ids")
+    many = repeated.count()
+    if not many:
+        return _matches_of_rows(pairs, n)
+    same = F.col("record_id").eqNullSafe(F.col("_again"))
+    repeated = F.broadcast(repeated) if many <= FEW_IDS else repeated
+    return _matches_of_rows(pairs.join(repeated, same, "left_anti"), n).unionByName(_matches_of_groups(pairs.join(repeated, same, "left_semi"), n))
+
+
+def _matches_of_rows(pairs: DataFrame, n: int) -> DataFrame:
+    """Each row by itself."""
+    schema = StructType([pairs.schema["record_id"], StructField("matched", LongType()), StructField("total", LongType())])
+
+    def tokens(x: str | None) -> list[str]:
+        return [t for t in _SPACE.split(x or "") if t]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, matched, total = [], [], []
+            for i, (candidate, reference) in enumerate(zip(batch.column("candidate"), batch.column("reference"), strict=True)):
+                found = tokens(candidate.as_py())
+                if len(found) >= n:
+                    at.append(i)
+                    matched.append(clipped(tokens(reference.as_py()), found, n)[-1])
+                    total.append(len(found) - n + 1)
+            ids = batch.column("record_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(matched, pa.int64()), pa.array(total, pa.int64())], names=["record_id", "matched", "total"])
+
+    return small_batches(pairs).mapInArrow(run, schema)
+
+
+def _matches_of_groups(pairs: DataFrame, n: int) -> DataFrame:
+    """The rows of a record together, by DataFrame operations: dealt out once, then both aggregates work where the n-grams arise."""
 
     def grams(column: str, candidate: int) -> Column:
         tokens = F.col(column)
