@@ -214,6 +214,18 @@ def test_run_drivers(spark, tmp_path, caplog):
     logs.setup()
 
 
+def test_python_gets_few_bytes_of_long_prompts_at_a_time(spark):
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").alias("record_id"), F.repeat(F.lit("x"), 50_000).alias("response"))
+
+    class Sizes:
+        def generate(self, requests):
+            return [str(sum(len(m["content"]) for r in requests for m in r.messages))] * len(requests)
+
+    got = models.answered(rows, Sizes(), "attacker", 0, 0.1, prompts.attack_prompt(MULTI, F.col("response")), "answer", write=False)
+    assert 0 < max(int(r.answer) for r in got.select("answer").collect()) < 6_000_000
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()  # other columns stay in the JVM
+
+
 def test_empty_attribute_list_makes_no_prompt(spark):
     row = spark.range(1).select(prompts.arbitrate_prompt(MULTI, F.lit("t"), F.array().cast("array<string>"), F.lit("i")).alias("p")).first()
     assert row.p is None

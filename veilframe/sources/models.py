@@ -14,7 +14,7 @@ import re
 import time
 import urllib.request
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import NamedTuple, Protocol
@@ -22,9 +22,9 @@ from typing import NamedTuple, Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
-from veilframe.sources.shared import written
+from veilframe.sources.shared import small_batches, written
 
 
 class Request(NamedTuple):
@@ -230,21 +230,19 @@ def answered(df: DataFrame, backend: ModelBackend | ScriptedAnswers, role: str,
     if isinstance(backend, ScriptedAnswers):
         met = backend.answered(df, role, iteration, prompt, into)
         return written(met, f"answers-{role}")[0] if write else met
-    asked = df.withColumn(PROMPT, prompt)
-    schema = StructType([*df.schema.fields, StructField(into, StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, prompts = batch.column("record_id").to_pylist(), batch.column(PROMPT).to_pylist()
-            due = [i for i, p in enumerate(prompts) if p is not None]
-            answers: list[str | None] = [None] * len(prompts)
-            for i, a in zip(due, backend.generate([Request(str(ids[i]), role, iteration, prompts[i], temperature) for i in due]), strict=True):
-                answers[i] = a
-            keep = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != PROMPT]
-            names = [n for n in batch.schema.names if n != PROMPT]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(answers, pa.string())], names=[*names, into])
-
-    out = asked.mapInArrow(run, schema)
+
+    @F.arrow_udf(StringType())
+    def answer(ids: pa.Array, prompts: pa.Array) -> pa.Array:
+        asked = prompts.to_pylist()
+        due = [i for i, p in enumerate(asked) if p is not None]
+        answers: list[str | None] = [None] * len(asked)
+        of = ids.to_pylist()
+        for i, a in zip(due, backend.generate([Request(str(of[i]), role, iteration, asked[i], temperature) for i in due]), strict=True):
+            answers[i] = a
+        return pa.array(answers, pa.string())
+
+    # Only id and prompt go to Python; the rest of a row, as long as its history may be, stays in the JVM.
+    out = small_batches(df).withColumn(into, answer.asNondeterministic()(F.col("record_id"), prompt))
     return written(out, f"answers-{role}")[0] if write else out
 
 
