@@ -150,3 +150,12 @@ def test_clipped_matches_shuffles_no_text_but_that_of_repeated_ids(spark):
     assert got == sorted([(1, 3, 5), (3, 0, 1), (None, 1, 1), (5, 2, 3), (6, 0, 1)], key=str)
     plan = metrics.clipped_matches(frame.where("record_id < 5"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_leaks_read_each_value_once(spark):
+    """The plan stays small: a text parsed within the call is parsed once, not at every reference."""
+    frame = spark.createDataFrame([('{"age": 30, "sex": "F"}', '{"age": " 32", "sex": "f", "city_country": "x"}')], "t string, g string")
+    out = frame.select(rules.leaks(MULTI, F.parse_json("t"), F.parse_json("g")).alias("leaks"))
+    assert out.first().leaks == ["sex", "age"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(t#") == 1 and plan.count("parseJson(g#") == 1

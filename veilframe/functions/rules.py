@@ -6,6 +6,7 @@ null as the text `none`, which is how the rules compare them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ MULTI = TaskProfile("multi", ("age", "education", "income_level", "current_city_
 HEALTH = TaskProfile("health", ("health_issue",), ("high",), health=True)
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often use refers to it; a plain Column is evaluated at each reference."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def node(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
@@ -45,21 +51,22 @@ def kind(v: Column) -> Column:
 
 def as_text(v: Column, key: str) -> Column:
     """The value lower-cased as text; missing is empty, null is `none`."""
-    x = node(v, key)
-    return F.when(x.isNull(), "").when(F.is_variant_null(x), "none").otherwise(F.lower(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))))
+    return let(node(v, key), lambda x: F.when(x.isNull(), "").when(F.is_variant_null(x), "none").otherwise(F.lower(F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))))
 
 
 def as_int(v: Column, key: str) -> Column:
     """A whole number as integer conversion reads it: numbers truncate, texts must be integers; else null."""
-    x = node(v, key)
-    text = strip(F.try_variant_get(x, "$", "string"))
-    number = F.try_variant_get(x, "$", "double")
-    return (
-        F.when(x.isNull() | F.is_variant_null(x), None)
-        .when(kind(x) == "STRING", F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")))
-        .when(kind(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("long"))
-        .otherwise(number.try_cast("long"))
-    )
+
+    def whole(x: Column) -> Column:
+        text = let(strip(F.try_variant_get(x, "$", "string")), lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("long")))
+        return (
+            F.when(x.isNull() | F.is_variant_null(x), None)
+            .when(kind(x) == "STRING", text)
+            .when(kind(x) == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("long"))
+            .otherwise(F.try_variant_get(x, "$", "double").try_cast("long"))
+        )
+
+    return let(node(v, key), whole)
 
 
 def _failed(truth: Column, guess: Column) -> Column:
@@ -72,19 +79,32 @@ def _within(a: Column, b: Column) -> Column:
 
 def multi_leaks(truth: Column, guess: Column) -> Column:
     """Attributes guessed right: exact ones, then fuzzy ones, then age."""
-    hits = []
-    for key in EXACT:
-        t, g = as_text(truth, key), as_text(guess, key)
-        hits.append((key, (t != "") & (g != "") & (g != "unknown") & (t == g)))
-    for key in FUZZY:
-        t, g = as_text(truth, key), as_text(guess, key)
-        for alias in (a for a, name in ALIASES.items() if name == key):
-            g = F.when(node(guess, key).isNull(), as_text(guess, alias)).otherwise(g)
-        hits.append((key, (t != "") & (g != "") & (g != "unknown") & (F.length(g) > 2) & _within(g, t)))
-    t, g = as_int(truth, "age"), as_int(guess, "age")
-    hits.append(("age", F.coalesce((t > 0) & (g > 0) & (F.abs(t - g) <= AGE_TOLERANCE), F.lit(False))))
-    found = F.array_compact(F.array(*[F.when(hit, F.lit(key)) for key, hit in hits]))
-    return F.when(_failed(truth, guess), F.array().cast("array<string>")).otherwise(found)
+    none = F.array().cast("array<string>")
+    pair = F.struct(truth.alias("t"), guess.alias("g"))
+    return let(pair, lambda p: F.when(_failed(p.t, p.g), none).otherwise(_found(p.t, p.g)))
+
+
+def _found(truth: Column, guess: Column) -> Column:
+    alias = {name: a for a, name in ALIASES.items()}
+    texts = {}
+    for key in (*EXACT, *FUZZY):
+        g = as_text(guess, key)
+        if key in alias:
+            g = F.when(node(guess, key).isNull(), as_text(guess, alias[key])).otherwise(g)
+        texts |= {f"t_{key}": as_text(truth, key), f"g_{key}": g}
+    values = F.struct(*[c.alias(k) for k, c in texts.items()], as_int(truth, "age").alias("t_age"), as_int(guess, "age").alias("g_age"))
+
+    def found(x: Column) -> Column:
+        hits = []
+        for key in (*EXACT, *FUZZY):
+            t, g = x[f"t_{key}"], x[f"g_{key}"]
+            told = (t != "") & (g != "") & (g != "unknown")
+            hits.append((key, told & (t == g if key in EXACT else (F.length(g) > 2) & _within(g, t))))
+        t, g = x.t_age, x.g_age
+        hits.append(("age", F.coalesce((t > 0) & (g > 0) & (F.abs(t - g) <= AGE_TOLERANCE), F.lit(False))))
+        return F.array_compact(F.array(*[F.when(hit, F.lit(key)) for key, hit in hits]))
+
+    return let(values, found)
 
 
 def health_leaks(truth: Column, guess: Column, compat: bool = False) -> Column:
